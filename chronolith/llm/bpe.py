@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import arrow_limits, map_arrow
 
 #: Pieces whose ids a worker keeps; the table starts anew when it is full, so memory is bounded.
-KEPT_PIECES = 600_000
+KEPT_PIECES = 500_000
 #: Longer pieces aren't kept.
 KEPT_LENGTH = 64
 
