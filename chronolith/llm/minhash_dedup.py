@@ -260,3 +260,10 @@ def minhash_dedup(docs: DataFrame, percent: int = 80, words: int = 5, id_col: st
     out = out.select("doc_id", "n_shingles", component)
     scratch.drop("classes", "members", "links", "sizes")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def one_of_each(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns: of each group of near-duplicates the one with the smallest id."""
+    own = F.col(f"`{id_col}`")
+    kept = minhash_dedup(docs, percent, id_col=id_col, text_col=text_col).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept"))
+    return docs.join(kept, own == F.col("__kept"), "left_semi").unionByName(docs.where(own.isNull()))

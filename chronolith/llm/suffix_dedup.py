@@ -321,7 +321,8 @@ def cut(n: int, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def with_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text)).alias("key"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text)).alias("key"), row)
 
 
 def _apply(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -341,24 +342,26 @@ def _apply(batch: pa.RecordBatch) -> pa.RecordBatch:
             removed.append(0)
             count.append(0)
         digest.append(hashlib.sha256(left).hexdigest())
-        kept.append(left)
-    arrays = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(digest), pa.array(kept, pa.binary())]
-    return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        kept.append(left.decode("utf-8", "ignore"))
+    arrays = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(digest), pa.array(kept, pa.string()), *batch.columns[3:]]
+    return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *batch.schema.names[3:]])
 
 
-def suffix_array_dedup(docs: DataFrame, min_bytes: int = 400, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary)`` for every row of ``docs``.
+def suffix_array_dedup(docs: DataFrame, min_bytes: int = 400, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, with_row: bool = False) -> DataFrame:
+    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept)`` for every row of ``docs``.
 
-    ``kept`` is what is left of the UTF-8 bytes; see the module for the rule and for nulls, empty texts and ties.
+    ``kept`` is what is left of the text, without characters that lost a part of their bytes; the digest is that of the
+    bytes left. ``with_row`` adds the whole row of ``docs`` as a struct. See the module for nulls, empty texts and ties.
     """
     spark = docs.sparkSession
     arrow_limits(spark)
     scratch = Scratch(spark, "suffix")
     texts = with_keys(docs, id_col, text_col)
-    spans = repeated_spans(texts, scratch, min_bytes, shard_bytes)
-    id_type = dict(texts.dtypes)["doc_id"]
-    return map_arrow(
-        texts.join(spans, "key", "left").select("doc_id", "text", "spans"),
-        _apply,
-        f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary",
-    )
+    spans = repeated_spans(texts.drop("row"), scratch, min_bytes, shard_bytes)
+    extra = ["row"] * with_row
+    found = texts.join(spans, "key", "left").select("doc_id", "text", "spans", *extra)
+    types = dict(found.dtypes)
+    schema = f"doc_id {types['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
+    if with_row:
+        schema += f", row {types['row']}"
+    return map_arrow(found, _apply, schema)

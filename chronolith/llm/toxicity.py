@@ -198,3 +198,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     rows = docs.select(own.alias("doc_id"), held_out(own).alias("held_out"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     schema = f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, score double, predicted int, offending array<struct<start:int,end:int,score:double>>"
     return map_arrow(rows, fn, schema)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, that the classifier doesn't reject."""
+    spark = docs.sparkSession
+    arrow_limits(spark)
+    model = spark.sparkContext.broadcast(train(docs, labels, id_col, text_col))
+    at = docs.columns.index(text_col)
+
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        score = model.value.score
+        return batch.filter(pa.array([score(t.as_py() or "") < threshold for t in batch.column(at)], pa.bool_()))
+
+    return map_arrow(docs, fn, docs.schema)
