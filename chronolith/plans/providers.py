@@ -1,0 +1,92 @@
+"""Model providers: what the engine calls for language and embeddings. The defaults are deterministic and offline."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+import re
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
+import numpy as np
+
+_NAME = re.compile(r"\b([A-Z][a-z]{2,})\b")
+_TIME = re.compile(r"\b((?:19|20)\d\d(?:-Q[1-4]|-\d\d(?:-\d\d)?)?|Q[1-4] (?:19|20)\d\d)\b")
+
+
+def extract_records(prompt: str) -> str:
+    """Records of a text: capitalised words are entities, neighbours in a sentence are related at its first time."""
+    out = []
+    for sentence in re.split(r"[.!?\n]+", prompt):
+        names = list(dict.fromkeys(_NAME.findall(sentence)))[:4]
+        found = _TIME.findall(sentence)
+        time = found[0] if found else "UNKNOWN_TIME"
+        out += [f'("entity"<|>{n}<|>CONCEPT<|>{sentence.strip()[:80]})' for n in names]
+        out += [f'("relationship"<|>{time}<|>{a}<|>{b}<|>{sentence.strip()[:80]})' for a, b in zip(names, names[1:], strict=False)]
+    return "##".join(out) + "<|COMPLETE|>"
+
+
+def question_times(prompt: str) -> str:
+    """Time constraints of a question, in the record grammar."""
+    found = _TIME.findall(prompt)
+    low = prompt.lower()
+    if len(found) >= 2 and ("between" in low or "from" in low):
+        return f'("entity"<|>between<|>{found[0]}<|>{found[1]}<|>date)<|COMPLETE|>'
+    logic = "before" if "before" in low else "after" if "after" in low or "since" in low else "at"
+    return "##".join(f'("entity"<|>{logic}<|>{t}<|>date)' for t in found) + "<|COMPLETE|>"
+
+
+def write_report(prompt: str) -> str:
+    lines = [x for x in prompt.split("\n") if x.strip()]
+    return json.dumps({"title": lines[0][:60] if lines else "Empty", "summary": " ".join(lines[1:4])[:200], "rating": float(min(10, len(lines))), "rating_explanation": f"{len(lines)} lines", "findings": [{"summary": x[:40], "explanation": x[:120]} for x in lines[1:3]]})
+
+
+def answer_points(prompt: str) -> str:
+    lines = [x for x in prompt.split("\n") if x.strip()]
+    return json.dumps({"points": [{"description": x[:120], "score": float(len(x) % 100)} for x in lines[:5]]})
+
+
+def answer(prompt: str) -> str:
+    return prompt.split("\n", 1)[0][:200] + " [" + hashlib.md5(prompt.encode()).hexdigest()[:8] + "]"
+
+
+def embed(text: str, dims: int = 64) -> list[float]:
+    """A unit vector of hashed words."""
+    v = np.zeros(dims)
+    for word in text.lower().split():
+        h = hashlib.md5(word.encode()).digest()
+        v[int.from_bytes(h[:4], "little") % dims] += 1 if h[4] % 2 else -1
+    n = np.linalg.norm(v)
+    return (v / n if n else v).tolist()
+
+
+@dataclass
+class Providers:
+    """Functions from text to text or vectors; replace any of them by calls to a model of your own."""
+
+    extract: Callable[[str], str] = extract_records
+    times: Callable[[str], str] = question_times
+    report: Callable[[str], str] = write_report
+    points: Callable[[str], str] = answer_points
+    respond: Callable[[str], str] = answer
+    embed: Callable[[str], list[float]] = embed
+    retries: int = 3
+    fail_response: str = "Sorry, I'm not able to provide an answer to that question."
+
+
+@dataclass
+class QueryParam:
+    """Parameters of a query; the numbers are the defaults of the modes."""
+
+    mode: str = "local"
+    level: int = 2
+    top_k: int = 20
+    only_context: bool = False
+    min_rating: float = 0.0
+    max_reports: int = 512
+    local_tokens: int = 4000
+    global_tokens: int = 16384
+    naive_tokens: int = 12000
+    granularity: str | None = None
+    # dollars for a thousand tokens of prompt, completion and embedding (fixed values)
+    prices: dict[str, float] = field(default_factory=lambda: {"prompt": 0.0015, "completion": 0.002, "embedding": 0.00002})
