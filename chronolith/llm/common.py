@@ -216,6 +216,10 @@ def connected_components(links: DataFrame, scratch: Scratch, name: str) -> DataF
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
         least = scratch.save(least.select(F.col("a").alias("node"), F.least("a", "m").alias("label")), f"{name}-m{step}")
+        for jump in range(3 if step > 1 else 0):  # chains in ascending order: pointers jump over eight at a time
+            ahead = least.toDF("label", "next")
+            least = least.join(ahead, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
+            least = scratch.save(least, f"{name}-m{step}-{jump}")
         left, right = least.toDF("a", "ra"), least.toDF("b", "rb")
         links = links.join(left, "a").join(right, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
         links = scratch.save(links.mapInArrow(_contract, "a long, b long"), f"{name}-{step}")

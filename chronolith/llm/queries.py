@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe_round_trip
 from .licenses import license_scan
 from .minhash_dedup import minhash_dedup
+from .oracles import ORACLE_SQL
 from .packing import pack
 from .rabitq import embedding_dedup
 from .suffix_dedup import suffix_array_dedup
@@ -18,6 +19,8 @@ from .toxicity import toxicity
 from .transcripts import recover_roles
 from .warc import warc_round_trip
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -78,5 +81,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
-
-ORACLE_SQL: dict[str, str] = {}

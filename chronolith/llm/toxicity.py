@@ -80,6 +80,8 @@ class Model:
 
     def score(self, text: str) -> float:
         """Noisy-or over the sentences and the leak."""
+        if self.leak == -math.inf:
+            return 0.0
         left, plain = math.log1p(math.exp(self.leak)), math.log1p(math.exp(PLAIN))
         for s in SENTENCE.findall(text.lower()):
             z = self.weigh(set(WORD.findall(s)))
