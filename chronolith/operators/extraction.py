@@ -100,3 +100,15 @@ def relation_payload(facts: DataFrame) -> DataFrame:
     """Vector payload of relations, one row for each time: ``(id, src, tgt, ts, content)``."""
     key = F.concat_ws("_", "src", "tgt", "ts")
     return facts.select(hash_id(key, "rel-").alias("id"), "src", "tgt", "ts", F.concat_ws(" ", "src", "tgt", "ts", "description").alias("content"))
+
+
+def summarise(rows: DataFrame, column: str, limit: int, summary: Column) -> DataFrame:
+    """Descriptions of ``limit`` tokens or more become ``summary``; shorter ones, and failed summaries, stay."""
+    from ..functions.text import token_count
+
+    return rows.withColumn(column, F.when(token_count(F.col(column)) >= limit, F.coalesce(summary, F.col(column))).otherwise(F.col(column)))
+
+
+def within_bounds(rows: DataFrame) -> DataFrame:
+    """Typed relations with a weight from 0 to 1 and an order from 1 to 3; others are dropped."""
+    return rows.where(F.col("weight").between(0, 1) & F.col("order").between(1, 3))

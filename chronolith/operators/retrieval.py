@@ -85,3 +85,38 @@ def text_context(scored: DataFrame, chunks: DataFrame, budget: int, temporal_sha
     first = token_budget(rows.where("temporal"), "tokens", order, int(budget * temporal_share))
     rest = token_budget(rows.where("not temporal"), "tokens", order, budget - int(budget * temporal_share))
     return first.unionByName(rest)
+
+
+def related_communities(entities: DataFrame, clusters: DataFrame, reports: DataFrame, level: int, k: int) -> DataFrame:
+    """``(cluster, n, rating)``: reports of the clusters that most of the entities belong to, best rated first of equals.
+
+    Clusters without a report are passed over.
+    """
+    counted = clusters.where(F.col("level") <= level).join(entities, "node").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    return top_k(counted.join(reports, "cluster"), [F.desc("n"), F.desc("rating"), F.col("cluster")], k)
+
+
+def related_edges(entities: DataFrame, edges: DataFrame, edge_scores: DataFrame) -> DataFrame:
+    """Edges at any of the entities ``(node)``, each once, with ``(rank, weight)`` of ``edge_scores(src, tgt, ..)``."""
+    at_src = edges.join(entities.withColumnRenamed("node", "src"), "src", "left_semi")
+    at_tgt = edges.join(entities.withColumnRenamed("node", "tgt"), "tgt", "left_semi")
+    return at_src.unionByName(at_tgt).distinct().join(edge_scores, ["src", "tgt"])
+
+
+def temporal_text_units(chunks: DataFrame, times: list[str], id_col: str = "chunk_id") -> DataFrame:
+    """Every chunk once for each of the question's times, its content led by the time."""
+    each = F.explode(F.array(*map(F.lit, times)))
+    return chunks.dropDuplicates([id_col]).withColumn("ts", each).withColumn("content", F.concat(F.lit("Content from "), "ts", F.lit(": "), "content"))
+
+
+def temporal_reports(times: DataFrame, reports: DataFrame, k: int) -> DataFrame:
+    """Reports of the times, by rating, then by size."""
+    return top_k(reports.join(times, "ts"), [F.desc("rating"), F.desc(F.col("n_edges") + F.col("n_nodes")), F.col("ts")], k)
+
+
+def seed_nodes(hits: DataFrame, nodes: DataFrame, degrees: DataFrame, k: int) -> DataFrame:
+    """``(node, similarity, degree)``: ends of relation hits that are nodes, by their best hit."""
+    ends = hits.select(F.col("src").alias("node"), "similarity").union(hits.select("tgt", "similarity"))
+    best = ends.groupBy("node").agg(F.max("similarity").alias("similarity"))
+    known = best.join(nodes.select(F.col("entity_name").alias("node")), "node", "left_semi").join(degrees, "node")
+    return top_k(known, [F.desc("similarity"), F.col("node")], k)

@@ -1145,3 +1145,179 @@ def daily_window_counts(spark: SparkSession, sf: str) -> DataFrame:
     """The streaming aggregate's batch twin."""
     e = table(spark, sf, "events")
     return e.groupBy(F.window(F.col("ts").cast("timestamp"), "1 day"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+# ---------------------------------------------------------------- lookups and composites of the query modes
+
+
+@query("f16_described_edges", f"WITH {FACTS} SELECT src, tgt, count(*) AS n FROM facts WHERE description LIKE 'R%' GROUP BY 1, 2")
+def described_edges(spark: SparkSession, sf: str) -> DataFrame:
+    kept = F.map_filter("description", lambda _, v: v.startswith("R"))
+    return graph.edges_with_maps(facts(spark, sf)).select("src", "tgt", F.size(kept).cast("bigint").alias("n")).where("n > 0")
+
+
+@query("j5_hierarchy_node_lookup", f"""WITH {TH}, g AS (SELECT '"' || ts || '"' AS name, count(*) AS n FROM daily GROUP BY ts) SELECT t.ts, coalesce(g.n, 0) AS n FROM th_nodes t LEFT JOIN g ON replace(g.name, '"', '') = t.ts""")
+def hierarchy_node_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    quoted = daily(spark, sf).groupBy(F.concat(F.lit('"'), "ts", F.lit('"')).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    return tree(spark, sf)[0].select("ts").join(quoted.select(text.sanitize(F.col("name")).alias("ts"), "n"), "ts", "left").select("ts", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("j8_sub_reports", f"WITH {TH}, r AS (SELECT ts, count(*) AS rating FROM daily GROUP BY ts) SELECT parent, child, rating FROM th_edges JOIN r ON child = ts")
+def sub_reports(spark: SparkSession, sf: str) -> DataFrame:
+    r = daily(spark, sf).groupBy(F.col("ts").alias("child")).agg(F.count(F.lit(1)).alias("rating"))
+    return tree(spark, sf)[1].join(r, "child").select("parent", "child", "rating")
+
+
+@query("j11_edges_among_top", f"WITH {DEGREES}, top AS (SELECT node, degree FROM degrees ORDER BY degree DESC, node LIMIT 60) SELECT src, tgt, s.degree + t.degree AS score FROM edges JOIN top s ON src = s.node JOIN top t ON tgt = t.node")
+def edges_among_top(spark: SparkSession, sf: str) -> DataFrame:
+    e = graph.cut_lineage(edges(spark, sf))
+    top = window.top_k(graph.degrees(e), [F.desc("degree"), F.col("node")], 60)
+    return e.join(top.toDF("src", "ds"), "src").join(top.toDF("tgt", "dt"), "tgt").select("src", "tgt", (F.col("ds") + F.col("dt")).alias("score"))
+
+
+@query("j12_map_unnest", f"WITH {FACTS} SELECT chunk_id, count(*) AS n, min(ts) AS first FROM facts GROUP BY chunk_id")
+def map_unnest(spark: SparkSession, sf: str) -> DataFrame:
+    rows = graph.edges_with_maps(facts(spark, sf)).select(F.explode("source_id").alias("ts", "chunk_id"))
+    return rows.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"))
+
+
+@query("j13_ranked_chunks", "SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents JOIN labels USING (doc_id) WHERE quality = 0 QUALIFY rank <= 25")
+def ranked_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select("doc_id", "n_chars").join(table(spark, sf, "labels").where("quality = 0").select("doc_id"), "doc_id")
+    best = window.top_k(d, [F.desc("n_chars"), F.col("doc_id")], 25)
+    return best.select("doc_id", F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")).cast("bigint").alias("rank"))
+
+
+@query(
+    "e8_seed_nodes",
+    f"""WITH {DEGREES}, h AS (SELECT src, tgt, (length(chunk_id) % 5 + length(tgt) % 3) / 10.0 AS s FROM facts WHERE ts = '1996-Q1'), e AS (SELECT src AS node, s FROM h UNION ALL SELECT tgt, s FROM h)
+SELECT node, max(s)::DOUBLE AS similarity, any_value(degree) AS degree FROM e JOIN degrees USING (node) WHERE node LIKE 'Customer%' GROUP BY node ORDER BY similarity DESC, node LIMIT 20""",
+)
+def seed_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    f = graph.cut_lineage(facts(spark, sf))
+    hits = f.where("ts = '1996-Q1'").select("src", "tgt", ((F.length("chunk_id") % 5 + F.length("tgt") % 3) / 10.0).alias("similarity"))
+    nodes = table(spark, sf, "customer").select(F.col("c_name").alias("entity_name"))
+    return retrieval.seed_nodes(hits, nodes, graph.degrees(f.select("src", "tgt").distinct()), 20)
+
+
+@query(
+    "e1_related_communities",
+    """WITH r AS (SELECT c_mktsegment AS cluster, round(avg(c_acctbal), 0) AS rating FROM customer GROUP BY 1) SELECT cluster, count(*) AS n, any_value(rating) AS rating FROM customer JOIN r ON cluster = c_mktsegment WHERE c_custkey % 7 = 0 GROUP BY cluster ORDER BY n DESC, rating DESC, cluster LIMIT 3""",
+)
+def related_communities(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer")
+    clusters = c.select(F.col("c_name").alias("node"), F.lit(0).alias("level"), F.col("c_mktsegment").alias("cluster"))
+    made = c.groupBy(F.col("c_mktsegment").alias("cluster")).agg(F.round(F.avg("c_acctbal"), 0).alias("rating"))
+    return retrieval.related_communities(c.where("c_custkey % 7 = 0").select(F.col("c_name").alias("node")), clusters, made, 2, 3)
+
+
+@query("e3_temporal_text_units", """SELECT doc_id AS chunk_id, t AS ts, md5('Content from ' || t || ': ' || text) AS content_md5 FROM documents CROSS JOIN (VALUES ('2024'), ('2024-Q2')) q(t)""")
+def temporal_text_units(spark: SparkSession, sf: str) -> DataFrame:
+    chunks = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    return retrieval.temporal_text_units(chunks, ["2024", "2024-Q2"]).select("chunk_id", "ts", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+@query(
+    "e4_related_edges",
+    f"""WITH {DEGREES}, w AS (SELECT src, tgt, count(*) AS weight FROM facts GROUP BY 1, 2) SELECT src, tgt, s.degree + t.degree AS rank, weight FROM w JOIN degrees s ON src = s.node JOIN degrees t ON tgt = t.node WHERE src IN ('Brand#11', 'Brand#12') OR tgt IN ('Customer#000000001')""",
+)
+def related_edges(spark: SparkSession, sf: str) -> DataFrame:
+    f = graph.cut_lineage(facts(spark, sf))
+    scores = graph.edge_degrees(f.groupBy("src", "tgt").agg(F.count(F.lit(1)).alias("weight"))).withColumnRenamed("edge_degree", "rank")
+    asked = spark.createDataFrame([("Brand#11",), ("Brand#12",), ("Customer#000000001",)], "node string")
+    return retrieval.related_edges(asked, f.select("src", "tgt").distinct(), scores).select("src", "tgt", "rank", "weight")
+
+
+@query(
+    "e6_temporal_edges_merged",
+    f"""WITH {TRADE}, n AS (SELECT tgt, src, min(seq) AS seq FROM trade WHERE src IN ('Brand#11', 'Brand#12', 'Brand#13') GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY seq) - 1 AS pos FROM n)
+SELECT (pos * 3 + CASE src WHEN 'Brand#11' THEN 0 WHEN 'Brand#12' THEN 1 ELSE 2 END)::INT AS rank, src, src || '>' || tgt AS edge FROM r WHERE pos < 4""",
+)
+def temporal_edges_merged(spark: SparkSession, sf: str) -> DataFrame:
+    """Each entity's edges in order, merged turn by turn."""
+    t = trade(spark, sf).where("src IN ('Brand#11', 'Brand#12', 'Brand#13')").groupBy("src", "tgt").agg(F.min("seq").alias("seq"))
+    ranked = t.withColumn("pos", F.row_number().over(Window.partitionBy("src").orderBy("seq"))).where("pos <= 12")
+    return window.round_robin(ranked.withColumn("edge", F.concat("src", F.lit(">"), "tgt")), "src", "pos", "edge", 12).select("rank", "src", "edge")
+
+
+@query(
+    "e7_temporal_reports",
+    f"""WITH {DAILY}, r AS (SELECT ts, count(DISTINCT src) AS n_nodes, count(*) AS n_edges, count(*) % 5 AS rating FROM daily GROUP BY ts) SELECT ts, rating, n_edges, n_nodes FROM r WHERE ts < '2024-01-20' ORDER BY rating DESC, n_edges + n_nodes DESC, ts LIMIT 6""",
+)
+def temporal_reports(spark: SparkSession, sf: str) -> DataFrame:
+    d = daily(spark, sf)
+    r = d.groupBy("ts").agg(F.countDistinct("src").alias("n_nodes"), F.count(F.lit(1)).alias("n_edges"), (F.count(F.lit(1)) % 5).alias("rating"))
+    return retrieval.temporal_reports(d.where("ts < '2024-01-20'").select("ts").distinct(), r, 6).select("ts", "rating", "n_edges", "n_nodes")
+
+
+@query(
+    "e13_report_groups",
+    """WITH RECURSIVE p AS (SELECT page_id, length(html) % 50 AS n_edges, length(url) AS n_nodes, page_id % 11 AS rating, length(html) AS tokens FROM pages WHERE page_id % 11 >= 2), o AS (SELECT page_id, tokens, row_number() OVER (ORDER BY n_edges DESC, n_nodes DESC, rating DESC, page_id) AS n FROM p),
+g AS (SELECT n, page_id, tokens AS used, 0 AS grp FROM o WHERE n = 1 UNION ALL SELECT o.n, o.page_id, CASE WHEN g.used + o.tokens > 20000 THEN o.tokens ELSE g.used + o.tokens END, CASE WHEN g.used + o.tokens > 20000 THEN g.grp + 1 ELSE g.grp END FROM g JOIN o ON o.n = g.n + 1)
+SELECT page_id::VARCHAR AS ts, grp::INT AS "group" FROM g""",
+)
+def global_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """The map side of a global query: reports picked, ordered and grouped for the model."""
+    p = table(spark, sf, "pages").select("page_id", F.col("page_id").cast("string").alias("ts"), (F.length("html") % 50).alias("n_edges"), F.length("url").alias("n_nodes"), (F.col("page_id") % 11).alias("rating"), F.length("html").cast("bigint").alias("tokens"), F.lit(0).alias("level"))
+    picked = reports.select_reports(p, 2, 2, 100_000)
+    return reports.report_groups(picked, [F.desc("n_edges"), F.desc("n_nodes"), F.desc("rating"), F.col("page_id")], 20000).select("ts", "group")
+
+
+@query("g18_safe_ids", "SELECT page_id, regexp_replace(lower(url), '[^a-z0-9_]+', '_', 'g') AS id FROM pages")
+def safe_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", text.safe_id(F.col("url")).alias("id"))
+
+
+@query("g20_subgraph_entities", f"WITH {TH}, b AS (SELECT DISTINCT src FROM daily WHERE substr(ts, 1, 7) = '2024-01') SELECT src AS entity FROM b")
+def subgraph_entities(spark: SparkSession, sf: str) -> DataFrame:
+    _, e = tree(spark, sf)
+    return retrieval.within_times(daily(spark, sf).select("src", "ts"), spark.createDataFrame([("2024-01",)], "ts string"), e).select(F.col("src").alias("entity")).distinct()
+
+
+@query("n10_year_quarter", """SELECT event_id, year(ts)::INT AS y, quarter(ts)::INT AS q FROM events""")
+def year_quarter(spark: SparkSession, sf: str) -> DataFrame:
+    raw = F.concat(F.lit("in "), F.year("ts"), F.lit(" Q"), F.quarter("ts"), F.lit(" already"))
+    return table(spark, sf, "events").select("event_id", timeexpr.extract_year(raw).alias("y"), timeexpr.extract_quarter(raw)["quarter"].alias("q"))
+
+
+@query("n13_levels", f"WITH {TH} SELECT ts, CASE level WHEN 0 THEN 'year' WHEN 1 THEN 'quarter' WHEN 2 THEN 'month' ELSE 'date' END AS level, level::INT AS number FROM th_nodes")
+def levels(spark: SparkSession, sf: str) -> DataFrame:
+    n = tree(spark, sf)[0].select("ts", timeexpr.time_level(F.col("ts")).alias("level"))
+    return n.withColumn("number", timeexpr.level_number(F.col("level")))
+
+
+@query("n19_month_numbers", "SELECT o_orderkey, month(o_orderdate)::INT AS m FROM orders")
+def month_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "orders").select("o_orderkey", timeexpr.month_number(F.date_format("o_orderdate", "MMMM")).alias("m"))
+
+
+@query("n24_granularity", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'year' WHEN 1 THEN 'quarter' ELSE 'date' END AS granularity FROM events")
+def granularity(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("event_id") % 3
+    e = table(spark, sf, "events").select("event_id", F.concat(F.lit('("granularity"<|>'), F.when(k == 0, "YEAR").when(k == 1, "Quarter").otherwise("date"), F.lit("<|>x)<|COMPLETE|>")).alias("r"))
+    return extraction.granularity(extraction.records(e, "event_id", "r"), "event_id")
+
+
+@query("x10_summarise", """SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '[^ \\t\\n\\r]+')) >= 300 THEN 'long' ELSE md5(text) END AS d FROM documents""")
+def summarise(spark: SparkSession, sf: str) -> DataFrame:
+    rows = extraction.summarise(table(spark, sf, "documents").select("doc_id", F.col("text").alias("d")), "d", 300, F.lit("long"))
+    return rows.select("doc_id", F.when(F.col("d") == "long", F.col("d")).otherwise(F.md5(F.col("d").cast("binary"))).alias("d"))
+
+
+@query("x12_bounds", "SELECT event_id FROM events WHERE value / 100 BETWEEN 0 AND 1 AND event_id % 5 BETWEEN 1 AND 3")
+def bounds(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").select("event_id", (F.col("value") / 100).alias("weight"), (F.col("event_id") % 5).alias("order"))
+    return extraction.within_bounds(e).select("event_id")
+
+
+@query("u1_union_dedup", "SELECT user_id, event_type FROM events WHERE event_id % 2 = 0 UNION SELECT user_id, event_type FROM events WHERE event_id % 3 = 0")
+def union_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    return e.where("event_id % 2 = 0").select("user_id", "event_type").unionByName(e.where("event_id % 3 = 0").select("user_id", "event_type")).distinct()
+
+
+@query("u4_u5_sets", "WITH s AS (SELECT source, lang, doc_id % 3 AS k FROM documents), a AS (SELECT DISTINCT source, lang FROM s WHERE k = 0), b AS (SELECT DISTINCT source, lang FROM s WHERE k = 1) SELECT a.source, count(b.lang) AS common, count(b.lang) = count(*) AS subset FROM a LEFT JOIN b ON a.source = b.source AND a.lang = b.lang GROUP BY a.source")
+def sets(spark: SparkSession, sf: str) -> DataFrame:
+    pick = lambda k: F.collect_set(F.when(F.col("doc_id") % 3 == k, F.col("lang")))
+    s = table(spark, sf, "documents").groupBy("source").agg(pick(0).alias("a"), pick(1).alias("b")).where(F.size("a") > 0)
+    return s.select("source", F.size(F.array_intersect("a", "b")).cast("bigint").alias("common"), (F.size(F.array_except("a", "b")) == 0).alias("subset"))
