@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import U64, Scratch, arrow_limits, map_arrow, mix, prefix_hash, sliding, span_hash, text_bytes
 
-#: Bytes of text in a shard; below 2**21, so that two ranks and a position share a 64-bit sort key.
-SHARD_BYTES = 1 << 20
+#: Bytes of text in a shard, about; below 2**21, so that two ranks and a position share a 64-bit sort key.
+SHARD_BYTES = 1 << 19
 #: First key: seven characters of nine bits.
 HEAD = 7
 
