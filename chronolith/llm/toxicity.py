@@ -89,20 +89,26 @@ class Model:
         return -math.expm1(-left)
 
 
-def _bag(text: str) -> list[list[str]]:
-    return [sorted(words) for s in SENTENCE.findall(text.lower()) if (words := set(WORD.findall(s)))]
+def _bag(text: str, shared: dict[str, str]) -> list[list[str]]:
+    """Different words of each sentence; equal words of all texts are one object."""
+    return [sorted(shared.setdefault(w, w) for w in words) for s in SENTENCE.findall(text.lower()) if (words := set(WORD.findall(s)))]
+
+
+def _features_of(bag: list[list[str]]) -> set[str]:
+    return {f for w in {w for s in bag for w in s} for f in features(w)}
 
 
 def telling(bags: list[list[list[str]]], y: np.ndarray) -> list[str]:
     """Words that stand in more toxic documents than their number of documents explains."""
-    total: dict[str, int] = {}
     toxic: dict[str, int] = {}
     for bag, label in zip(bags, y.tolist(), strict=True):
-        for w in {f for w in {w for s in bag for w in s} for f in features(w)}:
-            total[w] = total.get(w, 0) + 1
-            if label:
-                toxic[w] = toxic.get(w, 0) + 1
-    tried = [w for w, k in toxic.items() if k >= LEAST_DOCUMENTS]
+        for f in _features_of(bag) if label else ():
+            toxic[f] = toxic.get(f, 0) + 1
+    tried = [f for f, k in toxic.items() if k >= LEAST_DOCUMENTS]
+    total = dict.fromkeys(tried, 0)  # only those are counted in all documents
+    for bag in bags:
+        for f in _features_of(bag) & total.keys():
+            total[f] += 1
     rate = min(max(y.mean(), 1e-6), 1 - 1e-6)
     found = []
     for w in tried:
@@ -120,7 +126,8 @@ def fit(rows: list[tuple[str, int, float]]) -> Model:
     y = np.array([label for _, label, _ in rows], float)
     if not y.any():
         return Model({}, -math.inf)
-    bags = [_bag(text) for text, _, _ in rows]
+    shared: dict[str, str] = {}
+    bags = [_bag(text, shared) for text, _, _ in rows]
     ids = {w: i for i, w in enumerate(telling(bags, y))}
     word, sentence, document, size = [], [], [], np.zeros(len(rows))
     for d, bag in enumerate(bags):
