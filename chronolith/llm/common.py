@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Rows and bytes of an Arrow batch sent to a Python worker; bounds a worker's memory whatever the text lengths.
-BATCH_ROWS, BATCH_BYTES = 2048, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 
 
 # ---------------------------------------------------------------- shared folder

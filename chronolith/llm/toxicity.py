@@ -35,7 +35,7 @@ PLAIN = -14.0
 THRESHOLD = 0.7
 
 #: Lengths of the beginnings that count as features, and words whose weight a worker remembers.
-STEMS, REMEMBERED = (5, 6, 7, 8), 500_000
+STEMS, REMEMBERED = (5, 6, 7, 8), 200_000
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
