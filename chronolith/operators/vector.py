@@ -1,13 +1,19 @@
-"""Vector search: exact cosine scans with thresholds, temporal filters with fallback, approximate search by hashing."""
+"""Vector search: exact cosine scans with thresholds, exact neighbours of many, temporal filters with fallback,
+approximate search by hashing."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Similarity below which a hit doesn't count (fixed value).
 THRESHOLD = 0.2
+#: Vectors of a block of the exact search.
+BLOCK = 4096
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -83,7 +89,11 @@ def hash_keys(vector: Column, dims: int, bits: int, tables: int) -> Column:
 
 
 def approximate_query(vectors: DataFrame, queries: DataFrame, k: int = 10, dims: int = 64, bits: int = 6, tables: int = 12, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
-    """``(query_id, id, similarity, rank)``: neighbours among the vectors that share a bucket with the query."""
+    """``(query_id, id, similarity, rank)``: neighbours among the vectors that share a bucket with the query.
+
+    Pairs without a common bucket are never scored: recall depends on the bits, the tables and the data (0.44 and 0.59
+    with the defaults on the tables of sf0.01 and sf0.1). Where all neighbours are needed, use ``exact_neighbours``.
+    """
     from pyspark.sql import Window
 
     keyed = lambda df, i, v: df.select(F.col(i), F.col(v), F.explode(F.array_distinct(hash_keys(F.col(v), dims, bits, tables))).alias("bucket"))
@@ -91,3 +101,64 @@ def approximate_query(vectors: DataFrame, queries: DataFrame, k: int = 10, dims:
     pairs = keyed(vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")), "id", "v").join(q, "bucket").drop("bucket").dropDuplicates(["query_id", "id"])
     scored = pairs.select("query_id", "id", cosine(F.col("qv"), F.col("v")).alias("similarity"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))).where(F.col("rank") <= k)
+
+
+def _best_of_block(k: int):  # noqa: ANN202
+    """The best k vectors of a block for each query of another; sums go by the order of the components, as in ``dot``."""
+
+    def matrix(part: pa.Table) -> np.ndarray:
+        flat = part.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        return flat.reshape(part.num_rows, -1).T.copy()
+
+    def norms(x: np.ndarray) -> np.ndarray:
+        total = np.zeros(x.shape[1])
+        for row in x:
+            total += row * row
+        return np.sqrt(total)
+
+    def fn(pair: pa.Table) -> pa.Table:
+        pair = pair.sort_by([("asks", "ascending"), ("id", "ascending")])
+        asks = pair.column("asks").to_numpy()
+        cut = int(np.searchsorted(asks, 1))
+        rows, queries = pair.slice(0, cut), pair.slice(cut)
+        own, wanted = rows.column("id").combine_chunks(), queries.column("id").combine_chunks()
+        if not rows.num_rows or not queries.num_rows:
+            return pa.table({"query_id": wanted.slice(0, 0), "id": own.slice(0, 0), "similarity": pa.array([], pa.float64())})
+        x, y = matrix(rows), matrix(queries)
+        nx, ny = norms(x), norms(y)
+        at, sims = [], []
+        for q in range(y.shape[1]):
+            s = np.zeros(x.shape[1])
+            for d in range(len(x)):
+                s += y[d, q] * x[d]
+            s /= ny[q] * nx
+            best = np.argsort(-s, kind="stable")[:k]
+            at.append(best)
+            sims.append(s[best])
+        which = np.repeat(np.arange(y.shape[1]), [len(b) for b in at])
+        return pa.table({"query_id": wanted.take(pa.array(which)), "id": own.take(pa.array(np.concatenate(at))), "similarity": pa.array(np.concatenate(sims))})
+
+    return fn
+
+
+def exact_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, dims: int = 64, id_col: str = "id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """``(query_id, id, similarity, rank)``: the best k of all vectors for every query, of equals the least ids.
+
+    Every pair is scored: blocks of vectors meet blocks of queries, one pair of blocks in a task, and a pair of blocks
+    leaves k rows a query. Vectors without a direction (null, zero, of other dimensions) are no one's neighbours.
+    """
+    from pyspark.sql import Window
+
+    def sides(df: DataFrame, asks: int) -> tuple[DataFrame, int]:
+        v = F.col(vector_col).cast("array<double>")
+        norm = F.when(F.size(v) == dims, dot(v, v))
+        known = df.select(F.lit(asks).alias("asks"), F.col(id_col).alias("id"), v.alias("v")).where((norm > 0) & ~F.isnan(norm) & (norm < math.inf))
+        return known, max(1, math.ceil(known.count() / block))
+
+    (rows, n), (asked, m) = sides(vectors, 0), sides(queries, 1)
+    own = lambda parts: F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    pairs = rows.withColumn("i", own(n)).withColumn("j", every(m)).unionByName(asked.withColumn("j", own(m)).withColumn("i", every(n)))
+    kind = dict(rows.dtypes)["id"]
+    best = pairs.groupBy("i", "j").applyInArrow(_best_of_block(k), f"query_id {kind}, id {kind}, similarity double")
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))).where(F.col("rank") <= k)

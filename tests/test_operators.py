@@ -115,6 +115,31 @@ def test_approximate_search_recall(spark, sf):
     assert hit / total >= 0.9
 
 
+def test_registered_neighbours_are_all_found(spark):
+    from chronolith.plans.queries import QUERIES
+
+    for sf in ("/root/testdata/sf0.001", "/root/testdata/sf0.1"):
+        got = QUERIES["v3_approximate_neighbours"](spark, sf).toPandas()
+        x = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+        ids = np.array(sorted(x))
+        m = np.stack([x[i] / np.linalg.norm(x[i]) for i in ids])
+        asked = [i for i in ids.tolist() if i % 100 == 0]
+        hit = sum(len(set(ids[np.argsort(-(m @ (x[i] / np.linalg.norm(x[i]))))[:10]].tolist()) & set(got[got.query_id == i].id)) for i in asked)
+        assert hit == 10 * len(asked) == len(got)
+
+
+def test_exact_neighbours_in_blocks(spark):
+    rng = np.random.default_rng(15)
+    x = rng.standard_normal((60, 4))
+    x[10:30] = x[3]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(90, None), (91, [0.0] * 4), (92, [1.0]), (93, [float("nan")] * 4), (94, [None] * 4)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    whole = vector.exact_neighbours(df, df, 7, 4).orderBy("query_id", "rank").collect()
+    assert vector.exact_neighbours(df, df, 7, 4, block=9).orderBy("query_id", "rank").collect() == whole
+    assert len(whole) == 7 * 60 and [r.id for r in whole if r.query_id == 20] == [3, 10, 11, 12, 13, 14, 15]
+    assert vector.exact_neighbours(df, df.limit(0), 7, 4).count() == 0
+
+
 def test_report_repair_and_points(spark):
     one = spark.createDataFrame([('{"title": "T", "rating": 99}',), ("junk",)], "r string").select(reports.repair_report(F.from_json("r", reports.REPORT)).alias("x")).collect()
     assert (one[0].x.title, one[0].x.rating, one[0].x.findings) == ("T", 10.0, []) and one[1].x.title == "Untitled"
