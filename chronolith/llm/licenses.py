@@ -1,9 +1,11 @@
 """Licence scans by sentence rules, in Spark's own expressions only.
 
-A text is cut into sentences; each is normalised (lower case, letters and digits, single blanks) and looked up among
-known licence sentences, which gives its identifier. The identifiers of a text, in order, are matched against ordered
-licence rules: a rule is a sequence of identifiers, and it is met where those stand in that order with at most ``GAP``
-other sentences between two. Everything happens inside a row, so there is no shuffle and no hot group.
+A text is normalised (lower case, letters and digits, single blanks) with marks where a sentence or a line ends. Known
+licence sentences are looked up from mark to mark, whatever marks stand inside them, so a notice is found whether it is
+wrapped or not and though its wording holds ``; : .`` itself. The identifiers of a text, in order, are matched against
+ordered licence rules: a rule is a sequence of identifiers, and it is met where those stand in that order with at most
+``GAP`` other sentences between two; wrapped lines of a paragraph are one sentence there. Everything happens inside a
+row, so there is no shuffle and no hot group.
 
 Null and empty texts have no sentence and no licence. Extra columns are passed by; an empty table gives an empty one.
 """
@@ -74,22 +76,39 @@ RULES: list[tuple[str, list[str]]] = [
     ("Unlicense", ["unlicense/domain"]),
 ]
 
-#: A sentence ends at a line end, or at . ! ? ; : with white space behind it.
+#: Marks of a normalised text: the end of a sentence, of a line, around a known sentence; and what stands for a word
+#: of other letters or an address.
+END, LINE, KNOWN, OTHER = "\x01", "\x02", "\x03", "\x04"
+#: A sentence ends at a line without letters and digits, or at . ! ? ; : with white space behind it.
+SENTENCE_END = rf"(?<![.!?;:])[.!?;:]++[ \t\n\x0B\x0C]+|\n[^a-z0-9{LINE}{OTHER}]*\n"
+#: Words of which any known sentence has one; most texts hold none, and are done at once.
+WORDS = r"(?i)licen[sc]e|permission|redistribut|warrant|unencumbered|\bmpl\b"
+#: How the SQL cuts and looks: from stop or line end to the next one, so it agrees where no known sentence holds one.
 SPLIT = r"[.!?;:]+[ \t\r\n\x0B\x0C]+|[\r\n]+"
-#: What stands in any known sentence; most texts hold none, and are done at once.
 HINT = r"(?i)licen[sc]e|permission|redistribut|warrant|free software|public domain|above copyright|copy of the mpl"
 
 
-def normalised(sentence: Column) -> Column:
-    return F.btrim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+def normalised(text: Column) -> Column:
+    """Words, marks and ``OTHER`` with single blanks between, a mark at both ends."""
+    text = F.translate(F.replace(F.lower(text), F.lit("\r\n"), F.lit("\n")), f"\r{END}{LINE}{KNOWN}{OTHER}", "\n    ")
+    text = F.regexp_replace(text, r"https?://\S+", f" {LINE} {OTHER} {LINE} ")
+    text = F.regexp_replace(text, r"[\p{L}\p{N}&&[^\x00-\x7F]]+", f" {OTHER} ")
+    text = F.regexp_replace(F.regexp_replace(text, SENTENCE_END, f" {END} "), "\n", f" {LINE} ")
+    return F.concat(F.lit(f"{END} "), F.btrim(F.regexp_replace(text, f"[^a-z0-9{END}{LINE}{OTHER}]+", " ")), F.lit(f" {END}"))
 
 
 def sentence_ids(text: Column, sentences: dict[str, str]) -> Column:
     """array<struct<at, id>> of the known sentences of a text: their numbers among its sentences and identifiers."""
+    between = f" (?:[{END}{LINE}{OTHER}] )*+"
+    wordings = "|".join(between.join(s.split()) for s in sorted(sentences, key=len, reverse=True))  # of two, the longer
+    others = f"(?: {OTHER})*+"
+    marked = F.regexp_replace(normalised(text), f"([{END}{LINE}]{others} )({wordings})(?={others} [{END}{LINE}])", f"$1{KNOWN}$2{KNOWN}")
+    parts = F.split(marked, KNOWN)
+    before = F.transform(F.filter(parts, lambda _, i: i % 2 == 0), lambda x: F.regexp_count(x, F.lit(f"[a-z0-9{OTHER}][^{END}]*")))
     known = F.create_map(*[F.lit(x) for kv in sentences.items() for x in kv])
-    hinted = F.filter(F.transform(F.split(text, SPLIT), lambda s, i: F.struct(i.alias("at"), s.alias("s"))), lambda x: x["s"].rlike(HINT))
-    ids = F.transform(hinted, lambda x: F.struct(x["at"].alias("at"), F.element_at(known, normalised(x["s"])).alias("id")))
-    return F.filter(ids, lambda x: x["id"].isNotNull())
+    number = lambda j: F.aggregate(F.slice(before, F.lit(1), j + 1), j, lambda n, x: n + x)
+    found = F.filter(parts, lambda _, i: i % 2 == 1)
+    return F.transform(found, lambda s, j: F.struct(number(j).alias("at"), F.element_at(known, F.regexp_replace(s, f"[ {END}{LINE}{OTHER}]+", " ")).alias("id")))
 
 
 def rule_met(ids: Column, sequence: list[str]) -> Column:
@@ -108,7 +127,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.col("text")
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     nothing = F.array().cast("array<struct<at:int,id:string>>")
-    rows = rows.select("doc_id", F.when(text.rlike(HINT), sentence_ids(text, sentences)).otherwise(nothing).alias("ids"))
+    rows = rows.select("doc_id", F.when(text.rlike(WORDS), sentence_ids(text, sentences)).otherwise(nothing).alias("ids"))
     met = F.array_compact(F.array(*[F.when(rule_met(F.col("ids"), seq), F.lit(name)) for name, seq in rules]))
     found = F.when(F.size("ids") > 0, F.array_distinct(met)).otherwise(F.array().cast("array<string>"))
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_license_sentences"), F.array_join(F.transform("ids", lambda x: x["id"]), " ").alias("sentence_ids"), F.array_join(found, " ").alias("licenses"))

@@ -129,6 +129,55 @@ def test_licenses_by_ordered_sentences(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+GPL = """This program is free software{mark} you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation{stop} either version {version} of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details."""
+NOTICES = {
+    "GPL-3.0": GPL.format(mark=":", stop=",", version=3),
+    "GPL-2.0": GPL.format(mark=";", stop=";", version=2),
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "MIT": """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "BSD-3-Clause BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.""",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+}
+COUNTS = {"GPL-3.0": 2, "GPL-2.0": 2, "MPL-2.0": 2, "MIT": 3, "Apache-2.0": 5, "BSD-3-Clause BSD-2-Clause": 4, "Unlicense": 1}
+
+
+@pytest.mark.parametrize("width", [10_000, 75, 30])
+def test_whole_notices_wrapped_and_not(spark, width):
+    import textwrap
+
+    rows = []
+    for name, notice in NOTICES.items():
+        lines = [line for p in notice.split("\n\n") for line in [*textwrap.wrap(p, width, break_long_words=False), ""]]
+        rows += [(name, "\n".join(lines)), (name, "\r\n".join(lines)), (name, "\n".join("# " + x for x in lines)), (name, "Some words without a stop\n" + "\n".join(lines) + "and more")]
+    _, _, grant, _, warranty = NOTICES["MIT"].split("\n\n")
+    rows += [("", f"{grant}\n\n日本\n\n語\n\n字\n\n{warranty}"), ("MIT", f"{grant}\n\n日本\n語\n字\n\n{warranty}")]
+    df = spark.createDataFrame(rows, "name string, text string").withColumn("doc_id", F.monotonically_increasing_id())
+    got = licenses.license_scan(df).join(df, "doc_id").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.licenses == r.name, r
+        assert "日" in r.text or r.n_license_sentences == COUNTS[r.name], r
+
+
 def test_bounds_are_optimal():
     rng = np.random.default_rng(11)
     from itertools import combinations
