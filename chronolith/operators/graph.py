@@ -211,27 +211,33 @@ def largest_component(edges: DataFrame) -> DataFrame:
 
 
 def communities(edges: DataFrame, max_size: int = 10, rounds: int = 5) -> DataFrame:
-    """``(node, level, cluster)``: label propagation in synchronous rounds, then clusters over ``max_size`` cut anew.
+    """``(node, level, cluster)``: label propagation in synchronous rounds, then clusters over ``max_size`` once more.
 
-    A node takes the label most frequent among its neighbours, of equals the least; as many rounds at each of two
-    levels. The same input gives the same clusters.
+    A node takes the label most frequent among its neighbours and itself (without its own, two sides of a graph would
+    swap labels for ever), of equals the least; as many rounds at each of two levels. Level 1 propagates along the links
+    inside the large clusters of level 0; what is over ``max_size`` even then is cut into slices by name. The same input
+    gives the same clusters.
     """
     s = cut_lineage(symmetric(edges).where("node <> other").distinct())
-    labels = cut_lineage(s.select("node").distinct().withColumn("label", F.col("node")))
+    nodes = s.select("node").distinct()
 
-    def propagate(links: DataFrame, labels: DataFrame) -> DataFrame:
+    def propagate(nodes: DataFrame, links: DataFrame) -> DataFrame:
+        labels = cut_lineage(nodes.select("node", F.col("node").alias("label")))
         for _ in range(rounds):
-            votes = links.join(labels.toDF("other", "label"), "other").groupBy("node", "label").count()
-            best = votes.groupBy("node").agg(F.min(F.struct(-F.col("count"), "label")).alias("b")).select("node", F.col("b.label").alias("new"))
-            labels = cut_lineage(labels.join(best, "node", "left").select("node", F.least("label", F.coalesce("new", "label")).alias("label")))
+            heard = links.join(labels.toDF("other", "label"), "other").select("node", "label").union(labels)
+            votes = heard.groupBy("node", "label").count()
+            labels = cut_lineage(votes.groupBy("node").agg(F.min(F.struct(-F.col("count"), "label")).alias("b")).select("node", F.col("b.label").alias("label")))
         return labels
 
-    top = propagate(s, labels)
+    top = propagate(nodes, s)
     large = top.groupBy("label").count().where(F.col("count") > max_size).select("label")
-    inner = s.join(top.toDF("node", "l1"), "node").join(top.toDF("other", "l2"), "other").where("l1 = l2").join(large.withColumnRenamed("label", "l1"), "l1", "left_semi").select("node", "other")
-    numbers = Window.partitionBy("label").orderBy("node")
-    part = F.floor((F.row_number().over(numbers) - 1) / max_size)
-    second = top.join(inner.select("node").distinct(), "node", "left_semi").withColumn("part", part).select("node", F.lit(1).alias("level"), F.concat_ws("/", "label", F.col("part").cast("string")).alias("cluster"))
+    inside = cut_lineage(top.join(large, "label", "left_semi").select("node", F.col("label").alias("l1")))
+    inner = s.join(inside, "node").join(inside.toDF("other", "l2"), "other").where("l1 = l2").select("node", "other")
+    parts = inside.join(propagate(inside.select("node"), cut_lineage(inner)), "node")
+    cluster = Window.partitionBy("l1", "label")
+    part = F.floor((F.row_number().over(cluster.orderBy("node")) - 1) / max_size).cast("string")
+    parts = parts.withColumn("part", F.when(F.count(F.lit(1)).over(cluster) > max_size, part))
+    second = parts.select("node", F.lit(1).alias("level"), F.concat_ws("/", "l1", "label", "part").alias("cluster"))
     return top.select("node", F.lit(0).alias("level"), F.col("label").alias("cluster")).union(second)
 
 

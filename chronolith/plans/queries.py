@@ -1054,7 +1054,7 @@ def ppr_evidence(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("p4_communities")
 def communities(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.communities(daily(spark, sf).where("ts <= '2024-01-03'").select("src", "tgt").distinct())
+    return graph.communities(daily(spark, sf).select("src", "tgt").distinct())
 
 
 @query(

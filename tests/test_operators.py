@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -73,6 +75,44 @@ def test_components_and_communities(spark):
     assert clusters[clusters.level == 1].groupby("cluster").size().max() <= 5
 
 
+def _communities(edges, max_size=10, rounds=5):
+    links = {}
+    for a, b in edges:
+        if a != b:
+            links.setdefault(a, set()).add(b)
+            links.setdefault(b, set()).add(a)
+
+    def propagate(links):
+        labels = {n: n for n in links}
+        for _ in range(rounds):
+            votes = {n: Counter([labels[m] for m in others] + [labels[n]]) for n, others in links.items()}
+            labels = {n: min(v, key=lambda x: (-v[x], x)) for n, v in votes.items()}  # noqa: B023
+        return labels
+
+    top = propagate(links)
+    size = Counter(top.values())
+    second = propagate({n: {m for m in others if top[m] == top[n]} for n, others in links.items() if size[top[n]] > max_size})
+    groups = {}
+    for n in sorted(second):
+        groups.setdefault((top[n], second[n]), []).append(n)
+    cut = {n: "/".join([*key, *([str(i // max_size)] if len(g) > max_size else [])]) for key, g in groups.items() for i, n in enumerate(g)}
+    return {(n, 0, c) for n, c in top.items()} | {(n, 1, c) for n, c in cut.items()}
+
+
+def test_communities_against_brute_force(spark, sf):
+    from chronolith.plans.queries import QUERIES
+
+    rng = np.random.default_rng(16)
+    group = lambda i, n: [(f"g{i}-{a:02d}", f"g{i}-{b:02d}") for a in range(n) for b in range(a) if rng.random() < 0.7]
+    edges = [e for i, n in enumerate((8, 9, 7, 25, 3)) for e in group(i, n)] + [(f"g{i}-00", f"g{i + 1}-01") for i in range(4)] + [("z", "z"), ("hub", "z")]
+    edges += [("hub", f"leaf{i}") for i in range(30)] + [("leaf3", "leaf4"), ("leaf4", "leaf5"), ("leaf3", "leaf5")]
+    df = spark.createDataFrame(edges, "src string, tgt string")
+    for size in (10, 5):
+        assert {tuple(r) for r in graph.communities(df, size).collect()} == _communities(edges, size)
+    events = {(f"USER {r.user_id}", r.event_type.upper()) for r in spark.read.parquet(f"{sf}/events.parquet").collect()}
+    assert {tuple(r) for r in QUERIES["p4_communities"](spark, sf).collect()} == _communities(events)
+
+
 def test_hierarchy_of_mixed_levels(spark):
     t = spark.createDataFrame([("2024-01-05", "c1"), ("2024-Q3", "c2"), ("2024", "c3"), ("UNKNOWN_TIME", "c4"), ("2024-W02", "c5")], "ts string, source_id string")
     nodes, edges = graph.hierarchy(t)
