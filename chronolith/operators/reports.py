@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import csv_row, token_count
-from .window import next_fit
 
 REPORT = "struct<title:string,summary:string,rating:double,rating_explanation:string,findings:array<struct<summary:string,explanation:string>>>"
 
@@ -70,18 +70,67 @@ def generate_reports(contexts: DataFrame, edges: DataFrame, model: Callable[[str
     return done
 
 
-def select_reports(reports: DataFrame, level: int, min_rating: float = 0.0, limit: int = 512) -> DataFrame:
-    """Reports up to a level, the first ``limit`` by (level, edges, nodes), of enough rating, then by size and rating."""
-    rows = reports.where(F.col("level") <= level).orderBy("level", F.desc("n_edges"), F.desc("n_nodes"), "ts").limit(limit)
+def select_reports(reports: DataFrame, level: int, min_rating: float = 0.0, limit: int | None = 512) -> DataFrame:
+    """Reports up to a level, the first ``limit`` (None: all) by (level, edges, nodes), of enough rating, then by size
+    and rating."""
+    rows = reports.where(F.col("level") <= level)
+    if limit is not None:
+        rows = rows.orderBy("level", F.desc("n_edges"), F.desc("n_nodes"), "ts").limit(limit)
     rows = rows.where(F.coalesce("rating", F.lit(0.0)) >= min_rating)
     return rows.orderBy(F.desc("n_edges"), F.desc("n_nodes"), F.desc("rating"), "ts")
 
 
 def report_groups(reports: DataFrame, order: list[Column], budget: int) -> DataFrame:
-    """``(ts, tokens, group)``: reports, 512 at most, in groups that fit the budget one after the other."""
-    ordered = reports.withColumn("__n", F.row_number().over(Window.orderBy(*order))).agg(F.array_sort(F.collect_list(F.struct("__n", "ts", "tokens"))).alias("a"))
-    zipped = ordered.select(F.explode(F.arrays_zip(F.col("a"), next_fit(F.col("a.tokens"), budget).alias("g"))).alias("z"))
-    return zipped.select(F.col("z.a.ts").alias("ts"), F.col("z.a.tokens").alias("tokens"), F.col("z.g").alias("group"))
+    """``(ts, tokens, group)``: reports in groups that fit the budget one after the other, as ``next_fit`` makes them.
+
+    Partitions hold ranges of the order. How full a group a partition begins with only decides where its first own group
+    opens: the driver learns the places that are possible (no more than a budget has tokens) and what follows from each,
+    goes through the partitions, and then all are numbered at once.
+    """
+    from .graph import cut_lineage
+
+    sums = "p int, before array<bigint>, opened array<bigint>, used array<bigint>, total bigint"
+    ordered = reports.orderBy(*order).select("ts", "tokens", F.coalesce(F.col("tokens").cast("bigint"), F.lit(0).cast("bigint")).alias("t"), F.spark_partition_id().alias("p"))
+    ordered = cut_lineage(ordered)
+
+    def outline(batches):  # noqa: ANN001, ANN202
+        parts = [pdf for pdf in batches if len(pdf)]
+        if parts:
+            t = np.concatenate([pdf["t"].to_numpy() for pdf in parts])
+            n, s = len(t), np.append(0, np.cumsum(t))
+            after = np.maximum(np.searchsorted(s, s[:-1] + budget, "right") - 1, np.arange(1, n + 1))
+            opened, used = np.zeros(n + 1, np.int64), s[-1] - s
+            for i in range(n - 1, -1, -1):
+                opened[i] = 1 + opened[after[i]]
+                if after[i] < n:
+                    used[i] = used[after[i]]
+            first = np.arange(min(n, int(np.searchsorted(s[1:], budget, "right")) + 1))
+            first = first[(t[first] > 0) | (first == 0)]
+            yield pd.DataFrame({"p": [int(parts[0]["p"].iloc[0])], "before": [s[first + 1].tolist()], "opened": [opened[first].tolist()], "used": [used[first].tolist()], "total": [int(s[-1])]})
+
+    starts: dict[int, tuple[int, int]] = {}
+    used, group = 0, -1
+    for r in sorted(ordered.select("p", "t").mapInPandas(outline, sums).collect()):
+        starts[r.p] = used, group
+        at = 0 if group < 0 or used > budget else next((i for i, x in enumerate(r.before) if used + x > budget), None)
+        used, group = (used + r.total, group) if at is None else (r.used[at], group + r.opened[at])
+
+    def number(batches):  # noqa: ANN001, ANN202
+        state = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            used, group = state or starts[int(pdf["p"].iloc[0])]
+            out = []
+            for x in pdf["t"].tolist():
+                opens = group < 0 or used + x > budget
+                used, group = (x, group + 1) if opens else (used + x, group)
+                out.append(group)
+            state = used, group
+            yield pdf[["ts", "tokens"]].assign(group=np.array(out, np.int32))
+
+    types = dict(reports.select("ts", "tokens").dtypes)
+    return ordered.mapInPandas(number, f"ts {types['ts']}, tokens {types['tokens']}, group int")
 
 
 def points(groups: DataFrame, answer: str = "response") -> DataFrame:

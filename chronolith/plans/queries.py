@@ -1259,7 +1259,7 @@ SELECT page_id::VARCHAR AS ts, grp::INT AS "group" FROM g""",
 def global_groups(spark: SparkSession, sf: str) -> DataFrame:
     """The map side of a global query: reports picked, ordered and grouped for the model."""
     p = table(spark, sf, "pages").select("page_id", F.col("page_id").cast("string").alias("ts"), (F.length("html") % 50).alias("n_edges"), F.length("url").alias("n_nodes"), (F.col("page_id") % 11).alias("rating"), F.length("html").cast("bigint").alias("tokens"), F.lit(0).alias("level"))
-    picked = reports.select_reports(p, 2, 2, 100_000)
+    picked = reports.select_reports(p, 2, 2, None)
     return reports.report_groups(picked, [F.desc("n_edges"), F.desc("n_nodes"), F.desc("rating"), F.col("page_id")], 20000).select("ts", "group")
 
 

@@ -180,6 +180,33 @@ def test_exact_neighbours_in_blocks(spark):
     assert vector.exact_neighbours(df, df.limit(0), 7, 4).count() == 0
 
 
+@pytest.mark.parametrize("budget", [10, 37, 400])
+def test_report_groups_over_partitions(spark, budget):
+    rng = np.random.default_rng(17)
+    tokens = [int(x) for x in rng.choice([0, 0, 1, 3, 9, 11, 30, 50], 300)]
+    df = spark.createDataFrame([(f"{i:03d}", t) for i, t in enumerate(tokens)], "ts string, tokens bigint").repartition(7)
+    want, used, group = {}, 0, -1
+    for i, t in enumerate(tokens):
+        used, group = (t, group + 1) if group < 0 or used + t > budget else (used + t, group)
+        want[f"{i:03d}"] = t, group
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        for merged in ("false", "true"):
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merged)
+            assert {r.ts: (r.tokens, r.group) for r in reports.report_groups(df, [F.col("ts")], budget).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert reports.report_groups(df.limit(0), [F.col("ts")], budget).count() == 0
+
+
+def test_all_reports_are_grouped(spark, tmp_path):
+    from chronolith.plans.queries import QUERIES
+
+    n = 101_000
+    spark.range(n).select(F.col("id").alias("page_id"), F.concat(F.lit("u"), "id").alias("url"), F.repeat(F.lit("x"), (F.col("id") % 90).cast("int")).alias("html")).write.parquet(f"{tmp_path}/pages.parquet")
+    assert QUERIES["e13_report_groups"](spark, str(tmp_path)).count() == sum(i % 11 >= 2 for i in range(n))
+
+
 def test_report_repair_and_points(spark):
     one = spark.createDataFrame([('{"title": "T", "rating": 99}',), ("junk",)], "r string").select(reports.repair_report(F.from_json("r", reports.REPORT)).alias("x")).collect()
     assert (one[0].x.title, one[0].x.rating, one[0].x.findings) == ("T", 10.0, []) and one[1].x.title == "Untitled"
