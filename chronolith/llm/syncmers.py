@@ -1,12 +1,11 @@
 """Document fingerprints from closed syncmers.
 
 A k-mer of characters is a closed syncmer if its smallest inner s-mer (by hash; of equals any) lies at its left or right
-edge. That depends on the k-mer alone, so the same passage has the same anchors wherever it stands. A fingerprint keeps
-the anchors with the smallest hashes - at most ``keep`` different ones, all of them for shorter texts - with the place of
-their first occurrence. Likeness compares the smallest anchors of the union of two fingerprints; an anchor counts as
-shared if both have it and its places keep the order of the other shared ones (longest increasing chain), so scattered
-chance matches don't add up. Twice the shared over the anchors of both that take part: 1 for equal texts, about a half
-for texts that agree in a half of their length.
+edge. That depends on the k-mer alone, so the same passage has the same anchors wherever it stands. A fingerprint holds
+all anchors with all their places, so any passage of some length that two texts share leaves anchors in both. Likeness
+pairs the n-th place of an anchor in one text with its n-th in the other; a pair counts as shared if it keeps the order
+of the other shared ones (longest increasing chain), so scattered chance matches don't add up. Twice the shared over the
+anchors of both: 1 for equal texts, about a half for texts that agree in a half of their length.
 
 Texts shorter than k use themselves as the one anchor; empty and null texts have an empty fingerprint, like each other
 only. Fingerprints are strings of ``hash:place`` in hexadecimal, in order of place.
@@ -26,8 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import BASE, U64, arrow_limits, mix, powers, sliding
 
-#: Characters of a k-mer and of its inner s-mers, and anchors kept: the production parameters.
-K, S, KEEP = 12, 5, 64
+#: Characters of a k-mer and of its inner s-mers: the production parameters.
+K, S = 12, 5
+HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
 
 
 def _grams(codes: np.ndarray, n: int) -> np.ndarray:
@@ -56,16 +56,32 @@ def syncmers(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]
     return mix(whole), places
 
 
-def sketch(text: str, keep: int = KEEP, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
-    """The ``keep`` smallest different anchors, by hash, with their first places."""
+def sketch(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
+    """All anchors, by hash and place: hashes of 32 bits (eight digits) and places."""
     hashes, places = syncmers(text, k, s)
-    hashes, first = np.unique(hashes >> U64(32), return_index=True)  # 32 bits are eight digits
-    return hashes[:keep], places[first[:keep]]
+    both = (hashes >> U64(32) << U64(32)) | places.astype(U64)
+    both.sort()
+    return both >> U64(32), (both & U64(0xFFFFFFFF)).astype(np.int64)
 
 
 def render(fingerprint: tuple[np.ndarray, np.ndarray]) -> str:
-    order = np.lexsort(fingerprint)
-    return " ".join(f"{h:08x}:{p:x}" for h, p in zip(fingerprint[0][order].tolist(), fingerprint[1][order].tolist(), strict=True))
+    both = (fingerprint[1].astype(U64) << U64(32)) | fingerprint[0].astype(U64)
+    if not len(both):
+        return ""
+    both.sort()
+    hashes, places = both & U64(0xFFFFFFFF), both >> U64(32)
+    width = max(1, (int(places[-1]).bit_length() + 3) // 4)
+    out = np.full((len(both), 10 + width), ord(" "), np.uint8)
+    for j in range(8):
+        out[:, j] = HEX[((hashes >> U64(28 - 4 * j)) & U64(15)).astype(np.intp)]
+    out[:, 8] = ord(":")
+    shown = np.ones(out.shape, bool)
+    for j in range(width):
+        rest = places >> U64(4 * (width - 1 - j))
+        out[:, 9 + j] = HEX[(rest & U64(15)).astype(np.intp)]
+        if j < width - 1:
+            shown[:, 9 + j] = rest > 0
+    return out[shown][:-1].tobytes().decode()
 
 
 def parse(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
@@ -73,24 +89,28 @@ def parse(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     return np.array([h for h, _ in pairs], U64), np.array([p for _, p in pairs], np.int64)
 
 
-def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], keep: int = KEEP) -> float:
+def _numbered(hashes: np.ndarray) -> np.ndarray:
+    """Hashes in order, each with its number among the equal ones below it."""
+    at = np.arange(len(hashes))
+    first = np.maximum.accumulate(np.where(np.append(True, hashes[1:] != hashes[:-1]), at, 0))
+    return (hashes << U64(32)) | (at - first).astype(U64)
+
+
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """0 to 1; see the module."""
     if not len(a[0]) or not len(b[0]):
         return float(len(a[0]) == len(b[0]))
-    union = np.union1d(a[0], b[0])
-    if len(a[0]) >= keep or len(b[0]) >= keep:  # beyond the smaller sketch's last hash nothing is known of that text
-        last = min(x[0][-1] for x in (a, b) if len(x[0]) >= keep)
-        union = union[union <= last]
-    if not len(union):
-        return 0.0
-    last = union[-1]
-    na, nb = int((a[0] <= last).sum()), int((b[0] <= last).sum())
-    _, i, j = np.intersect1d(a[0][:na], b[0][:nb], assume_unique=True, return_indices=True)
+    own, other = _numbered(a[0]), _numbered(b[0])
+    at = np.minimum(np.searchsorted(other, own), len(other) - 1)
+    shared = other[at] == own
+    places = b[1][at[shared]][np.argsort(a[1][shared])]
     chain: list[int] = []
-    for p in b[1][j][np.argsort(a[1][i], kind="stable")].tolist():
-        at = bisect_left(chain, p)
-        chain[at : at + 1] = [p]
-    return 2 * len(chain) / (na + nb)
+    for p in places.tolist():
+        if not chain or p > chain[-1]:
+            chain.append(p)
+        else:
+            chain[bisect_left(chain, p)] = p
+    return 2 * len(chain) / (len(own) + len(other))
 
 
 # ---------------------------------------------------------------- operator
@@ -128,7 +148,7 @@ def with_next(rows: DataFrame) -> DataFrame:
     return both.repartition(max(n, 1), "stretch").sortWithinPartitions("stretch", "tail", "o", "text")
 
 
-def _compare(keep: int, k: int, s: int, id_type: pa.DataType):
+def _compare(k: int, s: int, id_type: pa.DataType):
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     types = [id_type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
@@ -139,9 +159,9 @@ def _compare(keep: int, k: int, s: int, id_type: pa.DataType):
             doc_id, own_text, own = now
             n = len(own_text)
             edited = own_text[: n - n // 2] + text[: n // 2]
-            other = sketch(edited, keep, k, s)
+            other = sketch(edited, k, s)
             digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-            return doc_id, n, digest, render(own), render(other), likeness(own, other, keep), likeness(own, fingerprint, keep)
+            return doc_id, n, digest, render(own), render(other), likeness(own, other), likeness(own, fingerprint)
 
         for batch in batches:
             stretches, tails, ids, texts = (batch.column(i).to_pylist() for i in (0, 1, 3, 4))
@@ -150,7 +170,7 @@ def _compare(keep: int, k: int, s: int, id_type: pa.DataType):
                     stretch, open_ = at, None
                 if tail and open_ is None:
                     continue
-                fingerprint = sketch(text, keep, k, s)
+                fingerprint = sketch(text, k, s)
                 if open_ is not None:
                     out.append(row(open_, text, fingerprint))
                 open_ = None if tail else (doc_id, text, fingerprint)
@@ -161,7 +181,7 @@ def _compare(keep: int, k: int, s: int, id_type: pa.DataType):
     return run
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: int = KEEP, k: int = K, s: int = S) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, s: int = S) -> DataFrame:
     """For every row: its fingerprint, that of its text edited by the next one's head, and likenesses to both.
 
     Columns ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``. The edited text
@@ -171,4 +191,4 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     id_type = dict(rows.dtypes)["doc_id"]
     schema = f"doc_id {id_type}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(rows).mapInArrow(_compare(keep, k, s, pa.int32() if id_type == "int" else pa.int64()), schema)
+    return with_next(rows).mapInArrow(_compare(k, s, pa.int32() if id_type == "int" else pa.int64()), schema)

@@ -79,6 +79,26 @@ def test_syncmers_are_free_of_context():
         assert (passage[i : i + syncmers.K] in grams) == (min(inner) in (inner[0], inner[-1]))
 
 
+def test_fingerprints_keep_all_anchors():
+    rng = random.Random(18)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    for n in (14_000, 100_000):
+        t = text(n)
+        hashes, places = syncmers.syncmers(t)
+        assert sorted(zip((hashes >> np.uint64(32)).tolist(), places.tolist(), strict=True)) == list(zip(*(x.tolist() for x in syncmers.sketch(t)), strict=True))
+        for x, y in zip(syncmers.parse(syncmers.render(syncmers.sketch(t))), syncmers.sketch(t), strict=True):
+            assert (x == y).all()
+        edited = t[: n // 2] + text(60) + t[n // 2 + 60 :]
+        assert 1 - 200 / n < syncmers.likeness(syncmers.sketch(t), syncmers.sketch(edited)) < 1
+        assert syncmers.likeness(syncmers.sketch(t), syncmers.sketch(t)) == 1.0
+    passage = text(400)
+    a, b = (syncmers.sketch(text(40_000) + passage + text(59_600)) for _ in range(2))
+    own = set(syncmers.sketch(passage)[0].tolist())
+    assert len(own) > 50 and own <= set(a[0].tolist()) & set(b[0].tolist())
+    twice = syncmers.sketch(passage + passage)
+    assert np.bincount(np.unique(twice[0], return_counts=True)[1])[2] >= len(own)
+
+
 def test_toxicity_learns_sentences_from_documents(spark):
     rng = random.Random(10)
     word = lambda: "".join(rng.choice(["ka", "lo", "mi", "ne", "ru"]) for _ in range(rng.randrange(2, 4)))
