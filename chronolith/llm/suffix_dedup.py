@@ -197,6 +197,27 @@ def _emit_runs(length: int):
     return fn
 
 
+def _emit_words(words: int, below: int):
+    """Windows of ``words`` words, by white space, of fewer than ``below`` bytes: name, place."""
+
+    def windows(data: np.ndarray) -> tuple[np.ndarray, ...]:
+        inside = np.concatenate([[False], (data != 32) & ((data < 9) | (data > 13)), [False]])
+        lo, hi = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
+        lo, hi = lo[: max(0, len(lo) - words + 1)], hi[words - 1 :]
+        short = hi - lo < below
+        lo, hi = lo[short], hi[short]
+        return span_hash(prefix_hash(data), lo, hi) if len(lo) else np.zeros(0, U64), lo, hi
+
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data, offsets = text_bytes(batch.column(1))
+        found = [windows(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        rows = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
+        name, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), batch.column(0).take(pa.array(rows)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["name", "key", "lo", "hi"])
+
+    return fn
+
+
 OUT = "key binary, lo int, hi int, name long, slice int, hashes binary, keys array<binary>, piece binary, start binary"
 
 
@@ -282,10 +303,11 @@ def _merge(length: int):
 # ---------------------------------------------------------------- operator
 
 
-def repeated_spans(texts: DataFrame, scratch: Scratch, min_bytes: int = 400, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def repeated_spans(texts: DataFrame, scratch: Scratch, min_bytes: int = 400, shard_bytes: int = SHARD_BYTES, words: int | None = None) -> DataFrame:
     """``(key, spans array<struct<lo,hi>>)`` of the texts of ``(key binary, doc_id, text)`` that hold repeats.
 
-    ``key`` names the text (equal texts have equal keys); spans may overlap.
+    ``key`` names the text (equal texts have equal keys); spans may overlap. With ``words``, windows of so many words
+    that repeat count too if they have fewer bytes than ``min_bytes``.
     """
     long_enough = texts.where(F.octet_length("text") >= min_bytes)
     found = scratch.save(map_arrow(long_enough.select("key", "text"), _emit_runs(min_bytes), "name long, whole long, key binary, lo int, hi int, own boolean"), "runs")
@@ -306,8 +328,14 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, min_bytes: int = 400, sha
     solved = scratch.save(pieces.mapInArrow(_shard(min_bytes, shard_bytes), OUT), "solved")
     merged = solved.where("slice is not null").groupBy("name", "slice").applyInPandas(_merge(min_bytes), "key binary, lo int, hi int")
     spans = equal.union(solved.where("slice is null").select("key", "lo", "hi")).union(merged)
+    if words:
+        short = map_arrow(texts.where(F.octet_length("text") >= 2 * words - 1).select("key", "text"), _emit_words(words, min_bytes), "name long, key binary, lo int, hi int")
+        short = short.groupBy("name", (F.col("hi") - F.col("lo")).alias("size"), "key", "lo", "hi").agg(F.count(F.lit(1)).alias("times"))
+        short = scratch.save(short, "words")
+        twice = short.groupBy("name", "size").agg(F.sum("times").alias("stands")).where("stands > 1")
+        spans = spans.union(short.join(twice, ["name", "size"], "left_semi").select("key", "lo", "hi"))
     spans = scratch.save(spans.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
-    scratch.drop("runs", "each", "known", "solved")
+    scratch.drop("runs", "each", "known", "solved", *["words"] * bool(words))
     return spans
 
 
@@ -347,17 +375,18 @@ def _apply(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *batch.schema.names[3:]])
 
 
-def suffix_array_dedup(docs: DataFrame, min_bytes: int = 400, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, with_row: bool = False) -> DataFrame:
+def suffix_array_dedup(docs: DataFrame, min_bytes: int = 400, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, with_row: bool = False, words: int | None = None) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept)`` for every row of ``docs``.
 
     ``kept`` is what is left of the text, without characters that lost a part of their bytes; the digest is that of the
-    bytes left. ``with_row`` adds the whole row of ``docs`` as a struct. See the module for nulls, empty texts and ties.
+    bytes left. ``with_row`` adds the whole row of ``docs`` as a struct. With ``words``, repeated
+    windows of so many words go too, however few bytes they have. See the module for nulls, empty texts and ties.
     """
     spark = docs.sparkSession
     arrow_limits(spark)
     scratch = Scratch(spark, "suffix")
     texts = with_keys(docs, id_col, text_col)
-    spans = repeated_spans(texts.drop("row"), scratch, min_bytes, shard_bytes)
+    spans = repeated_spans(texts.drop("row"), scratch, min_bytes, shard_bytes, words)
     extra = ["row"] * with_row
     found = texts.join(spans, "key", "left").select("doc_id", "text", "spans", *extra)
     types = dict(found.dtypes)

@@ -13,8 +13,8 @@ from chronolith.llm.packing import pack
 from chronolith.llm.suffix_dedup import suffix_array_dedup
 from chronolith.llm.toxicity import without_toxic
 
-#: Shorter than the operator's own default: a passage of just over fifty short words has to be caught.
-PASSAGE_BYTES = 256
+#: Shorter than the operator's own default; passages of over fifty words that are shorter still are found by their words.
+PASSAGE_BYTES, PASSAGE_WORDS = 256, 51
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +28,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the byte strings that stand elsewhere too; characters cut in part go; other columns stay."""
-    cut = suffix_array_dedup(docs, PASSAGE_BYTES, with_row=True)
+    """Documents without the byte strings or over fifty words that stand elsewhere too; characters cut in part go; other columns stay."""
+    cut = suffix_array_dedup(docs, PASSAGE_BYTES, with_row=True, words=PASSAGE_WORDS)
     changed = F.col("n_removed") > 0
     own = {"text": F.when(changed, F.col("kept")).otherwise(F.col("row.text")), "n_chars": F.when(changed, F.length("kept").cast("long")).otherwise(F.col("row.n_chars"))}
     return cut.select(*[own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -43,6 +44,21 @@ def test_stages_do_what_they_say(spark, sf):
     assert cut.where(F.length("text") != F.col("n_chars")).count() == 0
 
 
+@pytest.mark.parametrize("length", [1, 2, 3, 4, 5])
+def test_passages_of_just_over_fifty_words(spark, sf, length):
+    rng = random.Random(length)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(n))
+    passage, fifty = (" ".join(word(length) for _ in range(n)) for n in (51, 50))
+    own = [" ".join(word(7) for _ in range(30)) for _ in range(6)]
+    texts = [f"{own[0]} {passage} {own[1]}", f"{own[2]}\n{passage}", f"{own[3]} {fifty} {own[4]}", f"{fifty} {own[5]}", None, "", passage[:60]]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["passages"](spark, docs, sf).collect()}
+    assert all(passage not in (t or "") for t in got.values()) and own[0] in got[0] and own[1] in got[0] and own[2] in got[1]
+    assert len(fifty.encode()) >= 250 or (got[2], got[3]) == (texts[2], texts[3])
+    assert got[6] == texts[6] and len(got) == len(texts)
+
+
 def test_whole_run(spark, sf):
     packed = corpus_pipeline.run(spark, sf)
     assert packed.count() > 0 and "batch" in packed.columns
