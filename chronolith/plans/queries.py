@@ -224,14 +224,17 @@ def all_keys(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH {EDGES} SELECT c_name, p_brand FROM (SELECT DISTINCT c_name FROM customer WHERE c_custkey % 50 = 1) CROSS JOIN (SELECT DISTINCT p_brand FROM part)
 WHERE EXISTS (SELECT 1 FROM edges WHERE src = least(c_name, p_brand) AND tgt = greatest(c_name, p_brand))""",
 )
-def has_edge(spark: SparkSession, sf: str) -> DataFrame:
+def has_edge(spark: SparkSession, sf: str, part: str = "c_custkey % 50 = 1") -> DataFrame:
     """Which pairs of a few customers and any brand are edges: the edges of those customers, of course."""
-    wanted = table(spark, sf, "customer").where("c_custkey % 50 = 1").select("c_name").distinct()
+    wanted = table(spark, sf, "customer").where(part).select("c_name").distinct()
     both = graph.symmetric(edges(spark, sf)).toDF("c_name", "p_brand")
     brands = table(spark, sf, "part").select("p_brand").distinct()
     return both.join(wanted, "c_name", "left_semi").join(brands, "p_brand", "left_semi").select("c_name", "p_brand").distinct()
 
 
+QUERIES["f4_has_edge_whole"] = lambda spark, sf: has_edge(spark, sf, "true")
+
+
 @query("f5_get_edge", f"WITH {FACTS} SELECT ts, description, chunk_id FROM facts WHERE src = 'Brand#11' AND tgt = (SELECT min(c_name) FROM customer)")
 def get_edge(spark: SparkSession, sf: str) -> DataFrame:
     first = table(spark, sf, "customer").agg(F.min("c_name").alias("tgt"))
@@ -355,12 +358,15 @@ def edge_merge_join(spark: SparkSession, sf: str) -> DataFrame:
 s AS (SELECT a AS node, b AS other FROM e UNION SELECT b, a FROM e)
 SELECT DISTINCT x.node AS ts, least(y.node, y.other) AS src, greatest(y.node, y.other) AS tgt FROM s x JOIN s y ON x.other = y.node WHERE x.node IN ('2024-01-01', '2024-01-02')""",
 )
-def two_hops(spark: SparkSession, sf: str) -> DataFrame:
+def two_hops(spark: SparkSession, sf: str, days: str = "ts LIKE '2024-01-0%'", kinds: str = "tgt = 'PURCHASE'") -> DataFrame:
     d = daily(spark, sf)
-    e = d.where("ts LIKE '2024-01-0%'").select(F.col("ts").alias("src"), F.col("src").alias("tgt")).union(d.where("tgt = 'PURCHASE'").select("src", "tgt")).distinct()
+    e = d.where(days).select(F.col("ts").alias("src"), F.col("src").alias("tgt")).union(d.where(kinds).select("src", "tgt")).distinct()
     return graph.two_hops(e, spark.createDataFrame([("2024-01-01",), ("2024-01-02",)], "ts string"))
 
 
+QUERIES["j6_two_hops_whole"] = lambda spark, sf: two_hops(spark, sf, "true", "true")
+
+
 @query(
     "j7_degree_join",
     f"WITH {DEGREES} SELECT src, tgt, s.degree AS ds, t.degree AS dt FROM edges JOIN degrees s ON src = s.node JOIN degrees t ON tgt = t.node",
@@ -406,27 +412,33 @@ def title_lookup(spark: SparkSession, sf: str) -> DataFrame:
 ch AS (SELECT DISTINCT src AS entity, chunk_id FROM facts UNION SELECT DISTINCT tgt, chunk_id FROM facts)
 SELECT ent.entity, ch.chunk_id, count(DISTINCT o.entity) AS relation_counts FROM ent JOIN ch USING (entity) LEFT JOIN s ON s.node = ent.entity LEFT JOIN ch o ON o.entity = s.other AND o.chunk_id = ch.chunk_id GROUP BY 1, 2""",
 )
-def relation_counts(spark: SparkSession, sf: str) -> DataFrame:
+def relation_counts(spark: SparkSession, sf: str, part: str = "c_custkey <= 5") -> DataFrame:
     f = graph.cut_lineage(facts(spark, sf))
-    ent = table(spark, sf, "customer").where("c_custkey <= 5").select(F.col("c_name").alias("entity")).distinct()
+    ent = table(spark, sf, "customer").where(part).select(F.col("c_name").alias("entity")).distinct()
     chunks = f.select(F.col("src").alias("entity"), "chunk_id").union(f.select("tgt", "chunk_id")).distinct()
     return graph.relation_counts(ent, f.select("src", "tgt").distinct(), chunks).select("entity", "chunk_id", "relation_counts")
 
 
+QUERIES["j16_relation_counts_whole"] = lambda spark, sf: relation_counts(spark, sf, "true")
+
+
 @query(
     "j19_nearest_time",
     f"""WITH {FACTS}, q(t) AS (VALUES ('1996-Q2'), ('1999')), y AS (SELECT DISTINCT src, substr(ts, 1, 4)::INT AS y FROM facts WHERE src LIKE 'Brand#1%')
 SELECT src, t, min(abs(y - substr(t, 1, 4)::INT))::DOUBLE AS distance FROM y, q WHERE abs(y - substr(t, 1, 4)::INT) <= 1 GROUP BY 1, 2""",
 )
-def nearest_time(spark: SparkSession, sf: str) -> DataFrame:
+def nearest_time(spark: SparkSession, sf: str, part: str = "src LIKE 'Brand#1%'") -> DataFrame:
     q = spark.createDataFrame([("1996-Q2",), ("1999",)], "t string")
-    own = facts(spark, sf).where("src LIKE 'Brand#1%'").select("src", "ts").distinct().withColumn("y", timeexpr.extract_year(F.col("ts")))
+    own = facts(spark, sf).where(part).select("src", "ts").distinct().withColumn("y", timeexpr.extract_year(F.col("ts")))
     # two query times against all: an equi-join on the years they reach
     reach = q.select("t", F.explode(F.sequence(timeexpr.extract_year(F.col("t")) - 1, timeexpr.extract_year(F.col("t")) + 1)).alias("y"))
     pairs = own.join(F.broadcast(reach), "y").where(timeexpr.temporal_overlap(F.col("ts"), F.col("t")))
     return pairs.groupBy("src", "t").agg(F.min(timeexpr.temporal_distance(F.col("ts"), F.col("t"))).alias("distance"))
 
 
+QUERIES["j19_nearest_time_whole"] = lambda spark, sf: nearest_time(spark, sf, "true")
+
+
 @query(
     "j20_interval_containment",
     """SELECT q, count(*) AS n FROM (SELECT year(o_orderdate) || '-Q' || quarter(o_orderdate) AS q FROM orders WHERE o_orderdate >= '1996-01-01' AND o_orderdate < '1998-01-01') GROUP BY q""",
@@ -1062,12 +1074,15 @@ def communities(spark: SparkSession, sf: str) -> DataFrame:
     """WITH e AS (SELECT DISTINCT 'A' || o_custkey % 40 AS a, 'B' || o_custkey % 40 || '-' || o_orderkey % 7 AS b FROM orders WHERE o_custkey % 40 < 12), c AS (SELECT a, count(DISTINCT b) AS n FROM e GROUP BY a),
 best AS (SELECT a FROM c ORDER BY n DESC, a LIMIT 1) SELECT a AS src, b AS tgt FROM e WHERE a = (SELECT a FROM best)""",
 )
-def largest_component(spark: SparkSession, sf: str) -> DataFrame:
+def largest_component(spark: SparkSession, sf: str, part: str = "o_custkey % 40 < 12") -> DataFrame:
     k = (F.col("o_custkey") % 40).cast("string")
-    e = table(spark, sf, "orders").where("o_custkey % 40 < 12").select(F.concat(F.lit("a"), k).alias("src"), F.concat(F.lit("b"), k, F.lit("-"), (F.col("o_orderkey") % 7).cast("string")).alias("tgt")).distinct()
+    e = table(spark, sf, "orders").where(part).select(F.concat(F.lit("a"), k).alias("src"), F.concat(F.lit("b"), k, F.lit("-"), (F.col("o_orderkey") % 7).cast("string")).alias("tgt")).distinct()
     return graph.largest_component(e).select("src", "tgt")
 
 
+QUERIES["p5_largest_component_whole"] = lambda spark, sf: largest_component(spark, sf, "true")
+
+
 @query(
     "r1_ranking_config",
     """SELECT kind, round(a / (a + p + (1 - a - p)), 6) AS alignment, round(p, 6) AS proximity, round((1 - a - p) * 0.6, 6) AS degree, round((1 - a - p) * 0.4, 6) AS relevance
@@ -1121,11 +1136,14 @@ def lexical_relevance(spark: SparkSession, sf: str) -> DataFrame:
 l AS (SELECT ts, rn, E'"' || src || E'",\\t"' || tgt || '"' AS line FROM k), m AS (SELECT *, sum(len(regexp_extract_all(line, '[^ \\t\\n\\r]+'))) OVER (PARTITION BY ts ORDER BY rn) AS used FROM l)
 SELECT ts, E'id,\\tsource,\\ttarget\\n' || string_agg((rn - 1) || E',\\t' || line, E'\\n' ORDER BY rn) AS packed FROM m WHERE used <= 60 GROUP BY ts""",
 )
-def report_packing(spark: SparkSession, sf: str) -> DataFrame:
-    b = trade(spark, sf).where("src IN ('Brand#11', 'Brand#12')").select("ts", "src", "tgt").distinct()
+def report_packing(spark: SparkSession, sf: str, part: str = "src IN ('Brand#11', 'Brand#12')") -> DataFrame:
+    b = trade(spark, sf).where(part).select("ts", "src", "tgt").distinct()
     return reports.pack_rows(b, "ts", ["src", "tgt"], [F.col("src"), F.col("tgt")], 60, "id,\tsource,\ttarget")
 
 
+QUERIES["e15_report_packing_whole"] = lambda spark, sf: report_packing(spark, sf, "true")
+
+
 @query(
     "e14_naive_context",
     """WITH s AS (SELECT e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS sim FROM embeddings e, embeddings q WHERE q.vec_id = 0), t AS (SELECT * FROM s WHERE sim >= 0.2 ORDER BY sim DESC, vec_id LIMIT 20),
