@@ -23,9 +23,11 @@ BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests), one of our own, set for the session."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset, local mode gets one of our own, a cluster an error."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="chronolith-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -104,6 +106,31 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+# ---------------------------------------------------------------- hot keys
+
+#: A key is hot if it has more rows than the larger of HOT_ROWS and a HOT_SHARE-th of all: HOT_SHARE keys at most.
+HOT_ROWS, HOT_SHARE = 512, 4096
+#: Tasks that rows without a key are dealt to.
+NULL_SALTS = 64
+
+
+def join_spread(rows: DataFrame, few: DataFrame, key: str, spread: str) -> DataFrame:
+    """``rows`` left-joined with ``few``, which has one row a key at most; a hot key's rows are dealt to several tasks.
+
+    ``spread`` is a column of ``rows`` that tells rows of one key apart. Only hot keys are broadcast, ``HOT_SHARE`` at most
+    whatever the input; their rows of ``few`` are copied once for each salt.
+    """
+    limit = max(HOT_ROWS, rows.count() // HOT_SHARE)
+    counts = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).count().where(F.col("count") > limit)
+    hot = F.broadcast(counts.select("__key", F.ceil(F.col("count") / limit).cast("int").alias("__salts")))
+    salts = F.when(F.col(key).isNull(), NULL_SALTS).otherwise(F.coalesce("__salts", F.lit(1)))
+    dealt = F.pmod(F.xxhash64(spread, F.spark_partition_id()), salts).cast("int")  # the same in every attempt of a task
+    left = rows.join(hot, F.col(key) == F.col("__key"), "left").withColumn("__salt", dealt).drop("__key", "__salts")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))
+    right = few.join(hot, F.col(key) == F.col("__key"), "left").withColumn("__salt", copies).drop("__key", "__salts")
+    return left.join(right, [key, "__salt"], "left").drop("__salt")
+
+
 # ---------------------------------------------------------------- hashing
 
 U64 = np.uint64

@@ -4,17 +4,18 @@ A byte goes if a string of ``min_bytes`` bytes that covers it also starts anywhe
 
 1. Anchors. The window of ``min_bytes`` bytes at each position is named by the smallest hash of the grams inside it, a
    function of its bytes alone, so equal windows have equal names. Neighbouring windows of one name form a *run*. Only
-   runs whose name occurs twice can hold repeats; runs
-   that are equal as a whole are settled by counting.
+   runs whose name occurs twice can hold repeats; runs that are equal as a whole (128-bit BLAKE2 digests of their bytes)
+   are settled by counting.
 2. Shards. The other runs of a name go to one shard, whose bytes are bounded. There a suffix array is built by
    Larsson-Sadakane refinement in numpy, common prefixes follow by Kasai's bound, and a window repeats if it shares
    ``min_bytes`` bytes with a neighbour in the array.
-3. Hot names. Runs of a name with more bytes than a shard are dealt to several shards. Each sorts the keys of its
-   distinct windows, cuts them by key range with binary search, and the shards' sorted lists of a range are merged by
+3. Hot names. Runs of a name with more bytes than a shard are dealt to several shards. Each sorts the digests of its
+   distinct windows' bytes, cuts them by range with binary search, and the shards' sorted lists of a range are merged by
    binary search.
 
 Nulls count as empty texts; empty and short texts keep all their bytes; equal rows are repeats of each other; an empty
-table gives an empty one; columns other than the id and the text are passed by.
+table gives an empty one; columns other than the id and the text are passed by. A very long text is looked at ``CHUNK``
+windows at a time, so that beside the text itself a task holds arrays of a chunk or a shard only.
 """
 
 from __future__ import annotations
@@ -27,10 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, arrow_limits, map_arrow, mix, prefix_hash, sliding, span_hash, text_bytes
+from .common import U64, Scratch, arrow_limits, join_spread, map_arrow, prefix_hash, sliding, span_hash, text_bytes
 
 #: Bytes of text in a shard, about; below 2**21, so that two ranks and a position share a 64-bit sort key.
 SHARD_BYTES = 1 << 19
+#: Shards that a task solves one after another, about.
+SHARDS_PER_TASK = 6
+#: Windows of a text that are named at a time.
+CHUNK = 1 << 20
 #: First key: seven characters of nine bits.
 HEAD = 7
 
@@ -162,16 +167,21 @@ def repeats(pieces: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarr
 
 
 def runs(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(name, hash of the run's bytes, lo, hi, own) of the runs of windows of a text; windows start in [lo, hi - length].
+    """(name, lo, hi, own) of the runs of windows of a text; windows start in [lo, hi - length].
 
-    ``own``: the naming gram stands twice in the run, so a window may repeat inside it.
+    ``own``: the naming gram stands twice in the run, so a window may repeat inside it. A run over a chunk's end is two.
     """
+    parts = [_runs(data[a : a + CHUNK + length - 1], length, a) for a in range(0, max(1, len(data) - length + 1), CHUNK)]
+    return parts[0] if len(parts) == 1 else tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _runs(data: np.ndarray, length: int, at: int) -> tuple[np.ndarray, ...]:
     gram = length // 2
     if len(data) < length:
-        return (np.zeros(0, U64),) * 2 + (np.zeros(0, np.int64),) * 2 + (np.zeros(0, bool),)
+        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     s = prefix_hash(data)
-    at = np.arange(len(data) - gram + 1)
-    grams, width = span_hash(s, at, at + gram), length - gram + 1
+    places = np.arange(len(data) - gram + 1)
+    grams, width = span_hash(s, places, places + gram), length - gram + 1
     least = sliding(grams, width, np.minimum)
     lo = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
     hi = np.append(lo[1:], len(least)) - 1 + length
@@ -182,7 +192,12 @@ def runs(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
         places = np.sort(which * len(data) + chosen)
         base = np.searchsorted(values, name) * len(data)
         own = np.searchsorted(places, base + hi - gram + 1) - np.searchsorted(places, base + lo) > 1
-    return name, span_hash(s, lo, hi), lo, hi, own
+    return name, lo + at, hi + at, own
+
+
+def _digests(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[bytes]:
+    view = memoryview(np.ascontiguousarray(data))
+    return [hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
 
 
 def _emit_runs(length: int):
@@ -190,27 +205,33 @@ def _emit_runs(length: int):
         data, offsets = text_bytes(batch.column(1))
         found = [runs(data[a:b], length) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         rows = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
-        name, whole, lo, hi, own = (np.concatenate(x) for x in zip(*found, strict=True))
-        arrays = [pa.array(name.view(np.int64)), pa.array(whole.view(np.int64)), batch.column(0).take(pa.array(rows)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(own)]
+        name, lo, hi, own = (np.concatenate(x) for x in zip(*found, strict=True))
+        whole = _digests(data, lo + offsets[rows], hi + offsets[rows])
+        arrays = [pa.array(name.view(np.int64)), pa.array(whole, pa.binary()), batch.column(0).take(pa.array(rows)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(own)]
         return pa.RecordBatch.from_arrays(arrays, names=["name", "whole", "key", "lo", "hi", "own"])
 
     return fn
 
 
-def _emit_words(words: int, below: int):
-    """Windows of ``words`` words, by white space, of fewer than ``below`` bytes: name, place."""
-
-    def windows(data: np.ndarray) -> tuple[np.ndarray, ...]:
-        inside = np.concatenate([[False], (data != 32) & ((data < 9) | (data > 13)), [False]])
+def word_windows(data: np.ndarray, words: int, below: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(name, lo, hi) of the windows of ``words`` words, by white space, of fewer than ``below`` bytes."""
+    parts = []
+    for a in range(0, max(1, len(data)), CHUNK):  # with the byte before it, and as many behind it as a window may have
+        first = max(0, a - 1)
+        own = data[first : a + CHUNK + below]
+        inside = np.concatenate([[False], (own != 32) & ((own < 9) | (own > 13)), [False]])
         lo, hi = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
         lo, hi = lo[: max(0, len(lo) - words + 1)], hi[words - 1 :]
-        short = hi - lo < below
-        lo, hi = lo[short], hi[short]
-        return span_hash(prefix_hash(data), lo, hi) if len(lo) else np.zeros(0, U64), lo, hi
+        good = (hi - lo < below) & (lo + first >= a) & (lo + first < a + CHUNK)
+        lo, hi = lo[good], hi[good]
+        parts.append((span_hash(prefix_hash(own), lo, hi) if len(lo) else np.zeros(0, U64), lo + first, hi + first))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
 
+def _emit_words(words: int, below: int):
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = text_bytes(batch.column(1))
-        found = [windows(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        found = [word_windows(data[a:b], words, below) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         rows = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
         name, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), batch.column(0).take(pa.array(rows)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["name", "key", "lo", "hi"])
@@ -218,6 +239,8 @@ def _emit_words(words: int, below: int):
     return fn
 
 
+#: Digests as numpy compares them: sixteen bytes, the first ones first.
+DIGEST = np.dtype("S16")
 OUT = "key binary, lo int, hi int, name long, slice int, hashes binary, keys array<binary>, piece binary, start binary"
 
 
@@ -236,16 +259,15 @@ def _shard(length: int, shard_bytes: int):
             for a, b in zip(*_spans(again[at : at + len(piece)]), strict=True):
                 yield {"key": key, "lo": lo + int(a), "hi": lo + int(b) - 1 + length}
         if rows[0][1] > 1:  # one hot name, dealt to several shards
-            s = prefix_hash(data)
             at = np.flatnonzero(leader)
-            hashes = span_hash(s, at, at + length)
+            hashes = np.frombuffer(b"".join(_digests(data, at, at + length)), DIGEST)
             order = np.argsort(hashes)
             hashes, at = hashes[order], at[order]
             piece = np.searchsorted(starts, at, "right") - 1
             single = ~again[at]
             start = np.where(single, at - starts[piece] + np.array([r[3] for r in rows])[piece], -1)
             salts = rows[0][1]
-            cuts = np.searchsorted(hashes, np.array([(i << 64) // salts for i in range(1, salts)], U64))
+            cuts = np.searchsorted(hashes, np.array([((i << 128) // salts).to_bytes(16, "big") for i in range(1, salts)], DIGEST))
             for i, (h, p, t) in enumerate(zip(np.split(hashes, cuts), np.split(piece, cuts), np.split(start, cuts), strict=True)):
                 used, inverse = np.unique(p, return_inverse=True)
                 if len(h):
@@ -277,12 +299,12 @@ def _shard(length: int, shard_bytes: int):
 
 
 def _merge(length: int):
-    """Sorted window keys of the shards of one hot name and key range, merged by binary search, one shard after another."""
+    """Sorted window digests of the shards of one hot name and range, merged by binary search, one shard after another."""
     import pandas as pd
 
     def fn(part: pd.DataFrame) -> pd.DataFrame:
-        merged, counts = np.zeros(0, U64), np.zeros(0, np.int64)
-        lists = [np.frombuffer(x, U64) for x in part["hashes"]]
+        merged, counts = np.zeros(0, DIGEST), np.zeros(0, np.int64)
+        lists = [np.frombuffer(x, DIGEST) for x in part["hashes"]]
         for h in lists:
             at = np.searchsorted(merged, h)
             hit = at < len(merged)
@@ -310,7 +332,7 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, min_bytes: int = 400, sha
     that repeat count too if they have fewer bytes than ``min_bytes``.
     """
     long_enough = texts.where(F.octet_length("text") >= min_bytes)
-    found = scratch.save(map_arrow(long_enough.select("key", "text"), _emit_runs(min_bytes), "name long, whole long, key binary, lo int, hi int, own boolean"), "runs")
+    found = scratch.save(map_arrow(long_enough.select("key", "text"), _emit_runs(min_bytes), "name long, whole binary, key binary, lo int, hi int, own boolean"), "runs")
     # one row for each different run, with the first place where it stands; then what its name holds altogether
     each = found.groupBy("name", "whole").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("key", "lo", "hi")).alias("at"), F.max("own").alias("own"))
     each = scratch.save(each, "each")
@@ -320,11 +342,14 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, min_bytes: int = 400, sha
     # runs of a name that differ meet in a shard; hot names are dealt to several
     salts = F.ceil(F.col("bytes") / F.lit(shard_bytes)).cast("int")
     open_ = known.where("kinds > 1 or any_own").select("name", "whole", "at.*", salts.alias("salts"))
-    wanted = open_.groupBy("key").agg(F.collect_list(F.struct("name", "salts", "lo", "hi", F.pmod("whole", "salts").cast("int").alias("salt"))).alias("wanted"))
-    one = texts.join(wanted, "key").withColumn("data", F.col("text").cast("binary"))
+    wanted = open_.groupBy("key").agg(F.collect_list(F.struct("name", "salts", "lo", "hi", F.pmod(F.xxhash64("whole"), "salts").cast("int").alias("salt"))).alias("wanted"))
+    # of equal texts one is enough; each task keeps one of its own before the shuffle
+    one = long_enough.select("key", "text").dropDuplicates(["key"]).join(wanted, "key").withColumn("data", F.col("text").cast("binary"))
     pieces = one.select("key", "data", F.explode("wanted").alias("w"))
     pieces = pieces.select("w.name", "w.salts", "key", "w.lo", "w.salt", F.substring("data", F.col("w.lo") + 1, F.col("w.hi") - F.col("w.lo")).alias("piece"))
-    pieces = pieces.dropDuplicates(["name", "salt", "key", "lo"]).repartition("name", "salt").sortWithinPartitions("name", "salt")
+    size = open_.agg(F.sum(F.col("hi") - F.col("lo"))).first()[0] or 0
+    tasks = max(1, -(-size // (SHARDS_PER_TASK * shard_bytes)))
+    pieces = pieces.repartition(tasks, "name", "salt").sortWithinPartitions("name", "salt")
     solved = scratch.save(pieces.mapInArrow(_shard(min_bytes, shard_bytes), OUT), "solved")
     merged = solved.where("slice is not null").groupBy("name", "slice").applyInPandas(_merge(min_bytes), "key binary, lo int, hi int")
     spans = equal.union(solved.where("slice is null").select("key", "lo", "hi")).union(merged)
@@ -339,12 +364,24 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, min_bytes: int = 400, sha
     return spans
 
 
-def cut(n: int, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Overlapping and touching spans of a text of n bytes joined: starts and ends of the removed stretches."""
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, lo, 1)
-    np.add.at(edge, hi, -1)
-    return _spans(np.cumsum(edge[:n]) > 0)
+def cut(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Overlapping and touching spans joined: starts and ends of the removed stretches."""
+    order = np.argsort(lo, kind="stable")
+    lo, reach = lo[order], np.maximum.accumulate(hi[order])
+    first = np.append(True, lo[1:] > reach[:-1])
+    return lo[first], reach[np.append(np.flatnonzero(first)[1:] - 1, len(lo) - 1)]
+
+
+def whole_characters(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of UTF-8 text widened to the ends of the characters that they cut."""
+    inner = np.append((data & 0xC0) == 0x80, False)
+    for _ in range(3):
+        lo, hi = lo - inner[lo], hi + inner[hi]
+    return lo, hi
+
+
+def _without(data: bytes, lo: np.ndarray, hi: np.ndarray) -> bytes:
+    return b"".join(data[x:y] for x, y in zip([0, *hi.tolist()], [*lo.tolist(), len(data)], strict=True))
 
 
 def with_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -359,18 +396,16 @@ def _apply(batch: pa.RecordBatch) -> pa.RecordBatch:
     removed, count, digest, kept = [], [], [], []
     for a, b, spans in zip(offsets[:-1], offsets[1:], batch.column(2).to_pylist(), strict=True):
         own = data[a:b]
+        whole = own.tobytes()
+        left, text = whole, whole
+        lo = hi = np.zeros(0, np.int64)
         if spans:
-            lo, hi = cut(len(own), np.array([s["lo"] for s in spans]), np.array([s["hi"] for s in spans]))
-            whole = own.tobytes()
-            left = b"".join(whole[x:y] for x, y in zip(np.append(0, hi), np.append(lo, len(own)), strict=True))
-            removed.append(int((hi - lo).sum()))
-            count.append(len(lo))
-        else:
-            left = own.tobytes()
-            removed.append(0)
-            count.append(0)
+            lo, hi = cut(np.array([s["lo"] for s in spans]), np.array([s["hi"] for s in spans]))
+            left, text = _without(whole, lo, hi), _without(whole, *whole_characters(own, lo, hi))
+        removed.append(int((hi - lo).sum()))
+        count.append(len(lo))
         digest.append(hashlib.sha256(left).hexdigest())
-        kept.append(left.decode("utf-8", "ignore"))
+        kept.append(text.decode())
     arrays = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(digest), pa.array(kept, pa.string()), *batch.columns[3:]]
     return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *batch.schema.names[3:]])
 
@@ -378,7 +413,7 @@ def _apply(batch: pa.RecordBatch) -> pa.RecordBatch:
 def suffix_array_dedup(docs: DataFrame, min_bytes: int = 400, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, with_row: bool = False, words: int | None = None) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept)`` for every row of ``docs``.
 
-    ``kept`` is what is left of the text, without characters that lost a part of their bytes; the digest is that of the
+    ``kept`` is what is left of the text, without the characters that lost a part of their bytes; the digest is that of the
     bytes left. ``with_row`` adds the whole row of ``docs`` as a struct. With ``words``, repeated
     windows of so many words go too, however few bytes they have. See the module for nulls, empty texts and ties.
     """
@@ -388,7 +423,7 @@ def suffix_array_dedup(docs: DataFrame, min_bytes: int = 400, id_col: str = "doc
     texts = with_keys(docs, id_col, text_col)
     spans = repeated_spans(texts.drop("row"), scratch, min_bytes, shard_bytes, words)
     extra = ["row"] * with_row
-    found = texts.join(spans, "key", "left").select("doc_id", "text", "spans", *extra)
+    found = join_spread(texts, spans, "key", "doc_id").select("doc_id", "text", "spans", *extra)
     types = dict(found.dtypes)
     schema = f"doc_id {types['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
     if with_row:
