@@ -22,13 +22,19 @@ WARC = """WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS h, octet_length
 SELECT page_id, n AS payload_bytes, array_to_string(list_transform(range(0, 8), lambda i: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, 5 * i + 1, 5))::INT >> s) & 31)::INT + 1, 1)), '')), '') AS payload_digest,
 CASE WHEN page_id < target THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < target THEN target END AS refers_to FROM q"""
 
-SUFFIX = """WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+def _suffix() -> str:
+    inner = lambda at: f"substr(hex(array_slice(b, {at}, {at})), 1, 1) IN ('8', '9', 'A', 'B')"
+    start = "CASE " + " ".join(f"WHEN NOT {inner(f's.a - {k}')} THEN s.a - {k}" for k in range(3)) + " ELSE s.a - 3 END"
+    end = "CASE " + " ".join(f"WHEN NOT {inner(f's.z + {k + 1}')} THEN s.z + {k}" for k in range(3)) + " ELSE s.z + 3 END"
+    pieces = lambda name, spans: f"""{name}_f AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 AS a, a - 1 AS z FROM {spans} UNION ALL SELECT doc_id, max(z) + 1, 1000000000000 FROM {spans} GROUP BY doc_id),
+{name} AS (SELECT f.doc_id, unhex(string_agg(CASE WHEN f.a <= least(f.z, d.n) THEN hex(array_slice(b, f.a, least(f.z, d.n))) ELSE '' END, '' ORDER BY f.a)) AS left_over FROM {name}_f f JOIN d USING (doc_id) GROUP BY f.doc_id)"""
+    return f"""WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
 w AS (SELECT doc_id, i, md5(array_slice(b, i, i + 399)) AS h FROM d, range(1, n - 398) r(i)), rep AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1), s AS (SELECT doc_id, i FROM w SEMI JOIN rep USING (h)),
 g AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM s), k AS (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i > p + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g),
-spans AS (SELECT doc_id, k, min(i) AS a, max(i) + 399 AS z FROM k GROUP BY doc_id, k), f AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 AS a, a - 1 AS z FROM spans UNION ALL SELECT doc_id, max(z) + 1, 1000000000000 FROM spans GROUP BY doc_id),
-kept AS (SELECT f.doc_id, sha256(unhex(string_agg(CASE WHEN f.a <= least(f.z, d.n) THEN hex(array_slice(b, f.a, least(f.z, d.n))) ELSE '' END, '' ORDER BY f.a))) AS h FROM f JOIN d USING (doc_id) GROUP BY f.doc_id),
-t AS (SELECT doc_id, sum(z - a + 1)::BIGINT AS removed, count(*) AS spans FROM spans GROUP BY doc_id)
-SELECT d.doc_id, n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, coalesce(kept.h, sha256(b)) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+spans AS (SELECT doc_id, k, min(i) AS a, max(i) + 399 AS z FROM k GROUP BY doc_id, k), wider AS (SELECT s.doc_id, {start} AS a, {end} AS z FROM spans s JOIN d USING (doc_id)),
+{pieces("bytes", "spans")}, {pieces("chars", "wider")}, t AS (SELECT doc_id, sum(z - a + 1)::BIGINT AS removed, count(*) AS spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(coalesce(bytes.left_over, b)) AS kept_sha256, decode(coalesce(chars.left_over, b)) AS kept
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN bytes USING (doc_id) LEFT JOIN chars USING (doc_id)"""
 
 
 def _licenses() -> str:
@@ -49,5 +55,5 @@ ORACLE_SQL = {
     "op2_minhash_dedup": MINHASH,
     "op4_warc_index": WARC,
     "op9_license_scan": _licenses(),
-    "op10_suffix_array_dedup": SUFFIX,
+    "op10_suffix_array_dedup": _suffix(),
 }
