@@ -4,10 +4,13 @@
    odd sketch: the samples folded into a parity bitmap, in which two samples of one value leave no trace, so the
    population count of the XOR of two sketches tells how many samples differ.
 2. Texts of equal sets are one class from the start (sum and mixed sum of the set's hashes, 128 bits).
-3. Classes that share a band are candidates. Components of the band links are the groups to look at; a group is worked
-   on in one task if it is small, else as pairs of blocks.
-4. In a group, a pair whose sketches rule the similarity out (six standard deviations) is skipped, and so is one already
-   connected; every other pair is confirmed on the full sets. So all components are those of the exact links.
+3. Classes that share a band are candidates. In each band bucket their sketches are compared, before any text is read: a
+   pair whose sketches rule the similarity out (six standard deviations) is none. Each bucket gives a spanning forest of
+   the pairs left, never the pairs; a bucket of over ``GROUP`` classes gives a star, its pairs are sifted in the next step.
+   Components of these links are the groups to look at.
+4. A group is worked on in one task if it is small, else as pairs of blocks. A pair that the sketches rule out is skipped,
+   and so is one already connected; every other pair is confirmed on the full sets. So all components are those of the
+   exact links.
 
 Null and wordless texts have empty sets and link with nothing. Rows of one id are one document of several texts, each
 of which may link. Rows without an id get a null class of their own. Extra columns are passed by; an empty table gives
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, arrow_limits, connected_components, map_arrow, mix, prefix_hash, span_hash, text_bytes, union_find
+from .common import U64, Scratch, arrow_limits, connected_components, join_spread, map_arrow, mix, prefix_hash, span_hash, text_bytes, union_find
 
 #: Bands and samples in each: two sets of similarity 0.85 miss all bands once in a million pairs.
 BANDS, ROWS = 26, 5
@@ -31,7 +34,7 @@ SAMPLES = BANDS * ROWS
 #: Bits of an odd sketch.
 BITS = 512
 #: A group of at most so many classes and shingles is one task; larger ones are cut into blocks of half of that.
-GROUP, GROUP_SHINGLES = 2048, 4_000_000
+GROUP, GROUP_SHINGLES = 2048, 2_000_000
 #: Bytes of text hashed at a time.
 CHUNK = 1 << 19
 
@@ -137,19 +140,62 @@ def _features(words: int):
 # ---------------------------------------------------------------- groups
 
 
+def possible_pairs(sketches: np.ndarray, sizes: np.ndarray, percent: int, rows: slice) -> tuple[np.ndarray, np.ndarray]:
+    """(which pairs (i, j), i < j, sketches and set sizes allow, differing bits) of some rows with all."""
+    z = np.bitwise_count(sketches[rows, None, :] ^ sketches[None, :, :]).sum(-1, dtype=np.int32)
+    own = np.arange(len(sizes))
+    ok = (z <= largest_count(percent / 100)) & (own[rows, None] < own)
+    small, large = np.minimum(sizes[rows, None], sizes), np.maximum(sizes[rows, None], sizes)
+    return ok & (100 * small >= percent * large), z
+
+
+def _bucket_forests(percent: int):
+    """Rows (band, rep, n_shingles, sketch) sorted by band to links (a, b): a spanning forest of each bucket's possible pairs."""
+
+    def forest(reps: list[int], sizes: list[int], sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids, n = np.array(reps, np.int64), np.array(sizes, np.int64)
+        words = np.frombuffer(b"".join(sketches), U64).reshape(len(ids), -1)
+        parent = np.arange(len(ids))
+        for a in range(0, len(ids), 128):
+            ok, _ = possible_pairs(words, n, percent, slice(a, a + 128))
+            i, j = np.nonzero(ok)
+            parent = union_find(len(ids), i + a, j, parent)
+        own = parent != np.arange(len(ids))
+        return ids[own], ids[parent[own]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, out = None, [], []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if out:
+                a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+                out.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[0] != key:
+                    if len(rows) > 1:
+                        out.append(forest(*zip(*rows, strict=True)))
+                    key, rows = row[0], []
+                rows.append(row[1:])
+            yield from flush()
+        if len(rows) > 1:
+            out.append(forest(*zip(*rows, strict=True)))
+        yield from flush()
+
+    return run
+
+
 def exact_links(sets: list[np.ndarray], sketches: np.ndarray, side: np.ndarray | None, percent: int) -> np.ndarray:
     """Component (smallest index) of each set under the links of at least ``percent``; with ``side``, of pairs across."""
     m = len(sets)
     sizes = np.array([len(s) for s in sets])
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
     ids = np.split(ids, np.cumsum(sizes)[:-1])
-    most = largest_count(percent / 100)
     found = []
     for a in range(0, m, 128):
-        z = np.bitwise_count(sketches[a : a + 128, None, :] ^ sketches[None, :, :]).sum(-1, dtype=np.int32)
-        ok = (z <= most) & (np.arange(a, min(a + 128, m))[:, None] < np.arange(m))
-        small, large = np.minimum(sizes[a : a + 128, None], sizes), np.maximum(sizes[a : a + 128, None], sizes)
-        ok &= 100 * small >= percent * large
+        ok, z = possible_pairs(sketches, sizes, percent, slice(a, a + 128))
         if side is not None:
             ok &= side[a : a + 128, None] != side
         i, j = np.nonzero(ok)
@@ -228,14 +274,19 @@ def minhash_dedup(docs: DataFrame, percent: int = 80, words: int = 5, id_col: st
     rows = scratch.save(map_arrow(texts, _features(words), features), "features")
 
     some = rows.where("n_shingles > 0 and doc_id is not null")
-    reps = some.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     # of an id with several texts, each text is a class of its own name, joined through the id's links below
-    named = some.select("set_key", "doc_id", "n_shingles", "bands", "sketch").join(reps.withColumnRenamed("rep", "doc_id"), ["set_key", "doc_id"])
-    named = scratch.save(named.dropDuplicates(["set_key"]).withColumnRenamed("doc_id", "rep"), "classes")
+    first = F.min_by(F.struct(F.col("doc_id").alias("rep"), "n_shingles", "bands", "sketch"), "doc_id").alias("first")
+    named = scratch.save(some.groupBy("set_key").agg(first).select("set_key", "first.*"), "classes")
+    reps = named.select("set_key", "rep")
 
     banded = named.select("rep", F.explode("bands").alias("band"))
-    least = banded.groupBy("band").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last")
-    loose = connected_components(banded.join(least, "band").select(F.col("rep").alias("a"), F.col("first").alias("b")), scratch, "loose")
+    buckets = banded.groupBy("band").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = scratch.save(banded.join(buckets, "band"), "shared")
+    crowded = shared.where((F.col("n") > group) & (F.col("rep") != F.col("first"))).select(F.col("rep").alias("a"), F.col("first").alias("b"))
+    sketched = shared.where(F.col("n") <= group).select("rep", "band").join(named.select("rep", "n_shingles", "sketch"), "rep")
+    sketched = sketched.select("band", "rep", "n_shingles", "sketch").repartition("band").sortWithinPartitions("band")
+    loose = scratch.save(sketched.mapInArrow(_bucket_forests(percent), "a long, b long").union(crowded), "possible")
+    loose = connected_components(loose, scratch, "loose")
 
     members = named.join(loose.withColumnRenamed("node", "rep"), "rep").select("rep", "set_key", "sketch", "n_shingles", F.col("label").alias("group"))
     members = scratch.save(members, "members")
@@ -249,16 +300,16 @@ def minhash_dedup(docs: DataFrame, percent: int = 80, words: int = 5, id_col: st
     placed = placed.repartition("group", "lower", "upper").sortWithinPartitions("group", "lower", "upper")
     links = scratch.save(placed.mapInArrow(_solve(words, percent), "a long, b long"), "links")
 
-    ids = some.join(reps, "set_key").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     twice = some.select("doc_id", "set_key").distinct().groupBy("doc_id").count().where("count > 1")
-    ids = ids.join(twice.select(F.col("doc_id").alias("a")), "a", "left_semi")
+    ids = some.select("doc_id", "set_key").join(twice.select("doc_id"), "doc_id", "left_semi").distinct().join(reps, "set_key")
+    ids = ids.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     found = connected_components(links.union(ids), scratch, "exact").withColumnRenamed("node", "rep")
 
     classes = scratch.save(reps.join(found, "rep", "left").select("set_key", F.coalesce("label", "rep").alias("label")), "labels")
-    out = rows.join(classes, "set_key", "left")
+    out = join_spread(rows.select("doc_id", "n_shingles", "set_key"), classes, "set_key", "doc_id")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id")
     out = out.select("doc_id", "n_shingles", component)
-    scratch.drop("classes", "members", "links", "sizes")
+    scratch.drop("classes", "shared", "possible", "members", "links", "sizes")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
