@@ -7,8 +7,10 @@ pairs the n-th place of an anchor in one text with its n-th in the other; a pair
 of the other shared ones (longest increasing chain), so scattered chance matches don't add up. Twice the shared over the
 anchors of both: 1 for equal texts, about a half for texts that agree in a half of their length.
 
-Texts shorter than k use themselves as the one anchor; empty and null texts have an empty fingerprint, like each other
-only. Fingerprints are strings of ``hash:place`` in hexadecimal, in order of place.
+Texts without a syncmer, those shorter than k among them, use themselves as the one anchor; empty and null texts have an
+empty fingerprint, like each other only. Fingerprints are strings of ``hash:place`` in hexadecimal, in order of place.
+Ids are integers; rows without one come first, rows of one id go by their texts; an empty table gives an empty one. A very
+long text is looked at ``CHUNK`` characters at a time, so a task holds the text, its anchors and arrays of one chunk.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from .common import BASE, U64, arrow_limits, mix, powers, sliding
 
 #: Characters of a k-mer and of its inner s-mers: the production parameters.
 K, S = 12, 5
+#: Characters of a text that are hashed at a time.
+CHUNK = 1 << 20
 HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
 
 
@@ -38,24 +42,33 @@ def _grams(codes: np.ndarray, n: int) -> np.ndarray:
     return mix(h)
 
 
-def syncmers(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, places) of the closed syncmers of a text; a text without any k-mer is one anchor."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(U64) + U64(1)
-    if not len(codes):
-        return np.zeros(0, U64), np.zeros(0, np.int64)
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(U64) + U64(1)
+
+
+def _syncmers(codes: np.ndarray, k: int, s: int) -> tuple[np.ndarray, np.ndarray]:
     if len(codes) < k:
-        return _grams(codes, len(codes)), np.zeros(1, np.int64)
+        return np.zeros(0, U64), np.zeros(0, np.int64)
     inner = _grams(codes, s)
     least = sliding(inner, k - s + 1, np.minimum)
     places = np.flatnonzero((inner[: len(least)] == least) | (inner[k - s :] == least))
-    if not len(places):
-        return np.zeros(0, U64), places
     whole = np.zeros(len(places), U64)
     for j in range(k):
         whole += codes[places + j] * powers(BASE, k)[j]
     return mix(whole), places
 
 
+def syncmers(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, places) of the closed syncmers of a text; a text without any is one anchor."""
+    parts = [_syncmers(_codes(text[a : a + CHUNK + k - 1]), k, s) for a in range(0, len(text), CHUNK)]
+    hashes = np.concatenate([h for h, _ in parts] or [np.zeros(0, U64)])
+    places = np.concatenate([p + i * CHUNK for i, (_, p) in enumerate(parts)] or [np.zeros(0, np.int64)])
+    if len(places) or not text:
+        return hashes, places
+    codes = _codes(text)
+    return mix((codes * powers(BASE, len(codes))).sum(dtype=U64, keepdims=True)), np.zeros(1, np.int64)
+
+
 def sketch(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
     """All anchors, by hash and place: hashes of 32 bits (eight digits) and places."""
     hashes, places = syncmers(text, k, s)
@@ -115,8 +128,9 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 # ---------------------------------------------------------------- operator
 
-#: Rows of a stretch of ids, and the most stretches (their first ids are all that the driver learns).
-STRETCH_ROWS, STRETCHES = 8_000, 4096
+#: Rows of a stretch of ids, and the most stretches (their first ids are all that the driver learns). Past the most, a
+#: stretch gets longer, but it is sorted by Spark, which spills, and read row by row.
+STRETCH_ROWS, STRETCHES = 4_000, 16_384
 LEAST = -(1 << 63)
 
 
@@ -138,14 +152,15 @@ def with_next(rows: DataFrame) -> DataFrame:
     ordered = rows.withColumn("o", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)))
     count = ordered.count()
     n = min(STRETCHES, max(1, math.ceil(count / STRETCH_ROWS)))
-    cuts = ordered.agg(F.percentile_approx("o", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] if count else []
+    cuts = ordered.agg(F.percentile_approx("o", [i / n for i in range(1, n)] or [0.5], 50_000)).first()[0] if count else []
     placed = ordered.withColumn("stretch", _stretch(sorted(set(cuts or [0]))))
     heads = sorted(tuple(x) for x in placed.groupBy("stretch").agg(F.min("o")).collect())
     before = {heads[i][1]: heads[i - 1][0] for i in range(len(heads))}
     previous = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("o")) if before else F.lit(None).cast("int")
     both = placed.withColumn("at", F.explode(F.filter(F.array(F.struct(F.col("stretch"), F.lit(0).alias("tail")), F.struct(previous.alias("stretch"), F.lit(1).alias("tail"))), lambda x: x["stretch"].isNotNull())))
     both = both.select("at.stretch", "at.tail", "o", "doc_id", "text")
-    return both.repartition(max(n, 1), "stretch").sortWithinPartitions("stretch", "tail", "o", "text")
+    # ranges of stretches: a hash of so few keys would put several into one task
+    return both.repartitionByRange(max(n, 1), "stretch").sortWithinPartitions("stretch", "tail", "o", "text")
 
 
 def _compare(k: int, s: int, id_type: pa.DataType):
