@@ -6,9 +6,9 @@ its own, and returns offset, length, URL and digest per record; the index table
 a lost executor leaves a stray file at most. Reading: the index rows wanted are dealt by file and stretch of offsets,
 sorted, neighbouring ranges are fetched in one read, and every record is parsed and its digest checked.
 
-Files go to the shared folder through Arrow's file systems, which open what its URI names. Null payloads count as empty;
-rows of one page id and payload are each a response; a row without a page id revisits one that has one; extra columns
-are passed by; an empty table gives an empty index.
+Files go to the shared folder through Arrow's file systems, which know file, hdfs, s3 (s3a, s3n), gs and abfs(s) URIs.
+Page ids are integers. Null payloads count as empty; rows of one page id and payload are each a response; a row without a
+page id revisits one that has one; extra columns are passed by; an empty table gives an empty index.
 """
 
 from __future__ import annotations
@@ -35,6 +35,12 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "page_id long, url string, digest string, payload_bytes long, record_type string, refers_to long, file string, offset long, length long"
 
 
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system and path of a URI as Hadoop spells it."""
+    scheme, colon, rest = uri.partition("://")
+    return pafs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + colon + rest)
+
+
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -94,7 +100,7 @@ def _write(folder: str, level: int):
     types = [pa.string() if f.split()[1] == "string" else pa.int64() for f in INDEX.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, root = pafs.FileSystem.from_uri(folder)
+        system, root = file_system(folder)
         system.create_dir(root, recursive=True)
         out = name = None
         offset = 0
@@ -155,7 +161,7 @@ def _read(with_payload: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, ranges in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                system, path = pafs.FileSystem.from_uri(file)
+                system, path = file_system(file)
                 wanted = sorted((r["offset"], r["length"]) for r in ranges)
                 rows, at = [], 0
                 with system.open_input_file(path) as f:
@@ -174,8 +180,11 @@ def _read(with_payload: bool):
 
 def read_records(index: DataFrame, with_payload: bool = False) -> DataFrame:
     """The records that ``index`` rows name, parsed; whole files are never read for a few of their records."""
+    size = index.agg(F.sum("length")).first()[0] or 0
     stretches = index.groupBy("file", F.floor(F.col("offset") / STRETCH).alias("stretch")).agg(F.collect_list(F.struct("offset", "length")).alias("ranges"))
-    return stretches.select("file", "ranges").mapInArrow(_read(with_payload), READ + ", payload binary" * with_payload)
+    # by bytes of archive, not of index: otherwise a few index rows would become one task
+    stretches = stretches.select("file", "ranges").repartition(max(1, -(-size // STRETCH)))
+    return stretches.mapInArrow(_read(with_payload), READ + ", payload binary" * with_payload)
 
 
 def warc_round_trip(pages: DataFrame) -> DataFrame:
