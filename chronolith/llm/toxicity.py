@@ -8,7 +8,8 @@ those stand. Words count whose documents are labelled toxic more often than chan
 false word expected in the whole vocabulary): labels are noisy, and rare words would learn the noise by heart.
 
 The fit reads a bounded sample of labelled rows (``SAMPLE_TOXIC``, ``SAMPLE_CLEAN`` documents, at most ``SAMPLE_CHARS``
-characters), chosen by a hash of their ids; rows whose crc32(id) mod 3 is 1 are never read. Scores see nothing but the
+characters), chosen by a hash of their ids; a document whose rows don't fit what is left of the characters is passed over,
+the next ones are not; rows whose crc32(id) mod 3 is 1 are never read. Scores see nothing but the
 text. Null and empty texts have no sentence and score the leak. Where nothing toxic is labelled, all scores are 0. Of several
 labels for an id, the largest counts; rows of one id are scored one by one; extra columns are passed by.
 """
@@ -168,13 +169,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
     # at most SAMPLE_TOXIC + SAMPLE_CLEAN ids: the broadcast is bounded
     joined = texts.join(F.broadcast(some), "doc_id")
-    sizes = sorted((h, i, n) for i, h, n in joined.select("doc_id", "h", F.length("text")).collect())
+    sizes = joined.groupBy("h", "doc_id").agg(F.sum(F.length("text")).alias("n")).collect()
     total, chosen = 0, []
-    for _, i, n in sizes:
-        total += n
-        if total > SAMPLE_CHARS:
-            break
-        chosen.append(i)
+    for r in sorted(sizes):
+        if total + r.n <= SAMPLE_CHARS:
+            total += r.n
+            chosen.append(r.doc_id)
     rows = joined.where(F.col("doc_id").isin(chosen)) if len(chosen) < len(sizes) else joined
     rows = sorted(tuple(r) for r in rows.select("h", "doc_id", "toxic", "text").collect())
     sampled = {k: sum((t > 0) == k for _, _, t, _ in rows) for k in (False, True)}
