@@ -21,15 +21,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_limits
+from .common import Scratch, arrow_limits, map_arrow
 
 ROLES = ("system", "user", "assistant")
 #: A state is role * 2 + (0 if the turn starts with the line, 1 if it goes on).
 STATES = 2 * len(ROLES)
-SAMPLE, SEGMENT, SMOOTH = 2_000, 512, 0.5
+SAMPLE, SAMPLE_ROWS, SAMPLE_CHARS, SMOOTH = 2_000, 40_000, 20_000_000, 0.5
+#: Rows and characters of a segment, and matrices that are multiplied at a time.
+SEGMENT, SEGMENT_CHARS, FAN = 512, 1 << 20, 512
 
 #: Ways in which speakers are named at the start of a line (fixed values).
 MARKERS = {"system": ("system", "instructions", "sys"), "user": ("user", "human", "question", "q", "me"), "assistant": ("assistant", "ai", "answer", "a", "bot")}
@@ -78,12 +81,12 @@ class Hmm:
         best = np.broadcast_to(self.start + emit[0], (STATES, STATES)) if first else self.move + emit[0]
         for e in emit[1:]:
             best = (best[:, :, None] + self.move[None]).max(1) + e
-        return best
+        return best - best.max()  # what all paths have in common doesn't matter, and sums stay small
 
     def decode(self, emit: np.ndarray, before: int | None, last: int | None) -> np.ndarray:
         """The best states, after state ``before`` (None: the beginning) and with the last state given (None: any)."""
         score = (self.start if before is None else self.move[before]) + emit[0]
-        back = np.zeros((len(emit), STATES), np.int64)
+        back = np.zeros((len(emit), STATES), np.int8)
         for t in range(1, len(emit)):
             to = score[:, None] + self.move
             back[t] = to.argmax(0)
@@ -130,20 +133,6 @@ def render(states: np.ndarray, lines: list[str], begins: bool, ends: bool) -> st
     return "".join(out) + "<|end|>\n" * ends
 
 
-def _groups(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[tuple, list[tuple]]]:
-    """Rows sorted by their first n columns, a segment at a time."""
-    key, rows = None, []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[:n] != key:
-                if rows:
-                    yield key, rows
-                key, rows = row[:n], []
-            rows.append(row[n:])
-    if rows:
-        yield key, rows
-
-
 def _lines(texts: list[str]) -> tuple[list[str], list[int]]:
     """All lines of the rows, and where each row's begin."""
     lines, at = [], []
@@ -153,36 +142,128 @@ def _lines(texts: list[str]) -> tuple[list[str], list[int]]:
     return lines, at
 
 
-MATRIX = "conv string, segment long, matrix array<double>"
+def _segments(segment: int):
+    """Rows (conv, conv_id, turn, text) in order to segments: (conv, part, number, final, rows), the task being the part.
 
+    ``number`` counts the part's segments of the conversation, ``final`` marks the last of them.
+    """
 
-def _matrices(hmm: Hmm):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (conv, segment), rows in _groups(batches, 2):
-            lines, _ = _lines([r[2] for r in rows])
-            m = hmm.product(hmm.emissions(lines), segment == 0)
-            yield pa.RecordBatch.from_arrays([pa.array([conv], pa.string()), pa.array([segment], pa.int64()), pa.array([m.ravel().tolist()])], names=["conv", "segment", "matrix"])
+        part = TaskContext.get().partitionId()
+        conv, number, rows, chars, done, kind = None, 0, [], 0, [], None
+
+        def close(final: bool) -> None:
+            done.append((conv, part, number, final, list(rows)))
+            rows.clear()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if done:
+                types = [pa.string(), pa.int32(), pa.int64(), pa.bool_(), pa.list_(kind)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)], names=["conv", "part", "number", "final", "rows"])
+                done.clear()
+
+        for batch in batches:
+            kind = pa.struct([batch.schema.field(i) for i in (1, 2, 3)])
+            for c, conv_id, turn, text in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if c != conv:
+                    if rows:
+                        close(True)
+                    conv, number, chars = c, 0, 0
+                elif len(rows) >= segment or chars >= SEGMENT_CHARS:
+                    close(False)
+                    number, chars = number + 1, 0
+                rows.append({"conv_id": conv_id, "turn": turn, "text": text})
+                chars += len(text)
+            yield from flush()
+        if rows:
+            close(True)
+        yield from flush()
 
     return run
 
 
-def _ends(part: pd.DataFrame) -> pd.DataFrame:
-    """The states at the ends of one conversation's segments: Viterbi over their matrices."""
-    part = part.sort_values("segment")
-    matrices = [np.array(m).reshape(STATES, STATES) for m in part["matrix"]]
-    score, back = matrices[0][0], []
+MATRIX, ENDS = "conv string, number long, matrix array<double>", "conv string, number long, before int, last int"
+
+
+def _matrices(hmm: Hmm):
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for number, rows in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+            lines, _ = _lines([r["text"] for r in rows.as_py()])
+            out.append(hmm.product(hmm.emissions(lines), number == 0).ravel().tolist())
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.float64()))], names=["conv", "number", "matrix"])
+
+    return fn
+
+
+def _stack(part: pd.DataFrame) -> np.ndarray:
+    return np.stack([np.array(m).reshape(STATES, STATES) for m in part["matrix"]])
+
+
+def _product(part: pd.DataFrame) -> pd.DataFrame:
+    part = part.sort_values("number")
+    matrices = _stack(part)
+    out = matrices[0]
+    for m in matrices[1:]:
+        out = (out[:, :, None] + m[None]).max(1)
+        out -= out.max()
+    return pd.DataFrame({"conv": part["conv"].iloc[:1], "number": part["up"].iloc[:1], "matrix": [out.ravel().tolist()]})
+
+
+def _between(part: pd.DataFrame) -> pd.DataFrame:
+    """States at the ends of neighbouring segments, after ``start`` (below 0: the beginning) and before ``stop`` (so too: any)."""
+    part = part.sort_values("number")
+    matrices, start, stop = _stack(part), int(part["start"].iloc[0]), int(part["stop"].iloc[0])
+    score, back = matrices[0][max(start, 0)], []
     for m in matrices[1:]:
         to = score[:, None] + m
         back.append(to.argmax(0))
         score = to.max(0)
-    ends = [int(score.argmax())]
+    ends = [int(score.argmax()) if stop < 0 else stop]
     for b in reversed(back):
         ends.append(int(b[ends[-1]]))
     ends.reverse()
-    return pd.DataFrame({"conv": part["conv"], "segment": part["segment"], "before": [-1, *ends[:-1]], "last": ends})
+    return pd.DataFrame({"conv": part["conv"], "number": part["number"], "before": [start, *ends[:-1]], "last": ends})
+
+
+def segment_ends(matrices: DataFrame, scratch: Scratch, fan: int = FAN, level: int = 0) -> DataFrame:
+    """``(conv, number, before, last)``: the states before and at the end of each segment, of ``(conv, number, matrix)``."""
+    grouped = matrices.withColumn("up", F.floor(F.col("number") / fan).cast("long"))
+    if (matrices.agg(F.max("number")).first()[0] or 0) < fan:
+        known = grouped.withColumns({"start": F.lit(-1), "stop": F.lit(-1)})
+    else:
+        above = scratch.save(grouped.groupBy("conv", "up").applyInPandas(_product, MATRIX), f"matrices-{level + 1}")
+        ends = segment_ends(above, scratch, fan, level + 1).select("conv", F.col("number").alias("up"), F.col("before").alias("start"), F.col("last").alias("stop"))
+        known = grouped.join(ends, ["conv", "up"])
+    return scratch.save(known.groupBy("conv", "up").applyInPandas(_between, ENDS), f"ends-{level}")
+
+
+def _render(hmm: Hmm):
+    """Segments (begins, ends, before, last, rows) to their rows with roles and rendered parts."""
+
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        roles, turns, parts = [], [], []
+        column = batch.column(4)
+        rows = column.flatten()
+        texts, at = rows.field("text").to_pylist(), np.diff(column.offsets.to_numpy())
+        begin = 0
+        for begins, ends, before, last, n in zip(*(batch.column(i).to_pylist() for i in range(4)), at.tolist(), strict=True):
+            own = texts[begin : begin + n]
+            begin += n
+            lines, first = _lines(own)
+            states = hmm.decode(hmm.emissions(lines), None if before is None or before < 0 else before, last)
+            for i in range(n):
+                a, b = first[i], first[i + 1] if i + 1 < n else len(lines)
+                roles.append(ROLES[states[a] // 2])
+                turns.append(int((states[a:b] % 2 == 0).sum()))
+                parts.append(render(states[a:b], lines[a:b], begins and i == 0, ends and i == n - 1))
+        arrays = [rows.field("conv_id"), rows.field("turn"), pa.array(roles, pa.string()), pa.array(turns, pa.int64()), pa.array(parts, pa.string())]
+        return pa.RecordBatch.from_arrays(arrays, names=["conv_id", "turn", "role", "n_turns", "rendered"])
+
+    return fn
 
 
-def parse_transcripts(rows: DataFrame, hmm: Hmm, segment: int = SEGMENT) -> DataFrame:
+def parse_transcripts(rows: DataFrame, hmm: Hmm, segment: int = SEGMENT, fan: int = FAN) -> DataFrame:
     """``(conv_id, turn, role, n_turns, rendered)`` for every row of ``rows(conv_id, turn, text)``.
 
     ``role``: of the row's first line; ``n_turns``: turns that start in the row; ``rendered``: the row's part of the
@@ -190,46 +271,30 @@ def parse_transcripts(rows: DataFrame, hmm: Hmm, segment: int = SEGMENT) -> Data
     """
     scratch = Scratch(rows.sparkSession, "transcripts")
     arrow_limits(rows.sparkSession)
-    conv, least = F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.lit(-(1 << 63))
-    rows = rows.select(conv.alias("conv"), "conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("turn").cast("long"), least).alias("o"))
-    # a row's number in its conversation, from counts of coarse cells of turns, so that no conversation is one task
-    rows = rows.withColumn("cell", F.when(F.col("o") == least, F.lit(-1)).otherwise(F.floor(F.col("o") / segment)))
-    cells = scratch.save(rows.groupBy("conv", "cell").count(), "cells")
-    spans = cells.groupBy("conv").agg(F.count(F.lit(1)).alias("cells"), F.min("cell").alias("first"), F.max("cell").alias("final"))
-    rows = rows.join(spans, "conv")
-    # segments are the cells; they are numbered by place, and 0 is the first whatever its turns
-    ranks = cells.join(spans.where("cells > 1"), "conv")
-    whole = rows.where("cells = 1").withColumn("before", F.lit(None).cast("int")).withColumn("last", F.lit(None).cast("int"))
-    many = rows.join(ranks.select("conv").distinct(), "conv", "left_semi")
-    number = F.when(F.col("cell") == F.col("first"), 0).otherwise(F.col("cell") - F.col("first")).cast("long")
-    ordered = many.select("conv", number.alias("segment"), "turn", "o", "text").repartition("conv", "segment").sortWithinPartitions("conv", "segment", "o", "text")
-    matrices = ordered.mapInArrow(_matrices(hmm), MATRIX)
-    ends = matrices.groupBy("conv").applyInPandas(_ends, "conv string, segment long, before int, last int")
-    many = many.withColumn("segment", number).join(ends, ["conv", "segment"]).drop("segment")
-    both = whole.unionByName(many).withColumn("begins", F.col("cell") == F.col("first")).withColumn("ends", F.col("cell") == F.col("final"))
-    both = both.select("conv", "cell", "begins", "ends", "before", "last", "conv_id", "turn", "o", "text")
-    both = both.repartition("conv", "cell").sortWithinPartitions("conv", "cell", "o", "text")
-    id_type, turn_type = dict(both.dtypes)["conv_id"], dict(both.dtypes)["turn"]
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    types = [arrow[id_type], arrow[turn_type], pa.string(), pa.int64(), pa.string()]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = []
-        for (_, _, begins, ends, before, last), part in _groups(batches, 6):
-            lines, at = _lines([r[3] for r in part])
-            states = hmm.decode(hmm.emissions(lines), None if before is None or before < 0 else before, last)
-            for i, (conv_id, turn, _, _) in enumerate(part):
-                a, b = at[i], at[i + 1] if i + 1 < len(at) else len(lines)
-                own = states[a:b]
-                text = render(own, lines[a:b], begins and i == 0, ends and i == len(part) - 1)
-                out.append((conv_id, turn, ROLES[own[0] // 2], int((own % 2 == 0).sum()), text))
-            if len(out) >= 1024:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["conv_id", "turn", "role", "n_turns", "rendered"])
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["conv_id", "turn", "role", "n_turns", "rendered"])
-
-    return both.mapInArrow(run, f"conv_id {id_type}, turn {turn_type}, role string, n_turns long, rendered string")
+    types = dict(rows.dtypes)
+    conv = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit(""))
+    rows = rows.select(conv.alias("conv"), "conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), F.col("turn").try_cast("long").alias("o"))
+    # equal rows of a turn may stand in several tasks: which input partition they come from tells them apart
+    order = [F.col("conv"), F.asc_nulls_first("o"), F.xxhash64("text"), F.spark_partition_id()]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order[:3], "text")
+    schema = f"conv string, part int, number long, final boolean, rows array<struct<conv_id:{types['conv_id']},turn:{types['turn']},text:string>>"
+    cut = scratch.save(rows.select("conv", "conv_id", "turn", "text").mapInArrow(_segments(segment), schema), "segments")
+
+    # conversations that lie in several tasks: two a task at most, so the broadcast is bounded
+    held = cut.groupBy("conv", "part").agg(F.count(F.lit(1)).alias("n"))
+    whole, before = Window.partitionBy("conv"), Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select("conv", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"), F.min("part").over(whole).alias("head"), F.max("part").over(whole).alias("tail"))
+    cut = cut.join(F.broadcast(held.where("head < tail")), ["conv", "part"], "left")
+    number = F.col("number") + F.coalesce("offset", F.lit(0))
+    ends = F.col("final") & (F.col("part") == F.coalesce("tail", "part"))
+    cut = cut.select("conv", number.alias("number"), (number == 0).alias("begins"), ends.alias("ends"), "rows")
+
+    nothing = F.lit(None).cast("int")
+    alone = cut.where("begins and ends").select("begins", "ends", nothing.alias("before"), nothing.alias("last"), "rows")
+    many = cut.where("not (begins and ends)")
+    known = segment_ends(scratch.save(map_arrow(many.select("conv", "number", "rows"), _matrices(hmm), MATRIX), "matrices"), scratch, fan)
+    both = alone.unionByName(many.join(known, ["conv", "number"]).select(alone.columns))
+    return map_arrow(both, _render(hmm), f"conv_id {types['conv_id']}, turn {types['turn']}, role string, n_turns long, rendered string")
 
 
 # ---------------------------------------------------------------- raw transcripts of labelled conversations
@@ -247,14 +312,18 @@ def raw_text() -> Column:
 
 
 def fit_sample(conversations: DataFrame) -> Hmm:
-    """Tables from at most SAMPLE conversations of at most eight hundred rows, with their roles."""
-    ids = conversations.select("conv_id").where("conv_id is not null").distinct().orderBy(F.xxhash64("conv_id"), "conv_id").limit(SAMPLE)
-    some = conversations.join(F.broadcast(ids), "conv_id").where("turn < 800 or turn is null")
-    rows = some.select("conv_id", "turn", "role", raw_text().alias("raw")).orderBy("conv_id", "turn", "raw").limit(20 * SAMPLE).collect()
-    return fit([(r.conv_id, r.role, i == 0, line) for r in rows for i, line in enumerate(r.raw.split("\n"))])
-
-
-def recover_roles(conversations: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """Tables from a bounded sample of conversations with their roles; see the module."""
+    sizes = conversations.where("conv_id is not null").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"))
+    rows, chars, chosen = 0, 0, []
+    for r in sizes.orderBy(F.xxhash64("conv_id"), "conv_id").limit(SAMPLE).collect():
+        if rows + r.n <= SAMPLE_ROWS and chars + r.chars <= SAMPLE_CHARS:
+            rows, chars = rows + r.n, chars + r.chars
+            chosen.append(r.conv_id)
+    some = conversations.where(F.col("conv_id").isin(chosen)).select("conv_id", "turn", "role", raw_text().alias("raw"))
+    return fit([(r.conv_id, r.role, i == 0, line) for r in some.orderBy("conv_id", F.col("turn").try_cast("long"), "raw").collect() for i, line in enumerate(r.raw.split("\n"))])
+
+
+def recover_roles(conversations: DataFrame, segment: int = SEGMENT, fan: int = FAN) -> DataFrame:
     """The raw transcripts of all conversations, parsed again."""
     hmm = fit_sample(conversations)
-    return parse_transcripts(conversations.select("conv_id", "turn", raw_text().alias("text")), hmm, segment)
+    return parse_transcripts(conversations.select("conv_id", "turn", raw_text().alias("text")), hmm, segment, fan)
