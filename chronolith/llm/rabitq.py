@@ -10,7 +10,7 @@
 3. A pair counts in the first cell that both share. Tasks return link counts and spanning stars, never pairs; a cell
    with many members is worked on as pairs of blocks.
 
-Vectors that are null, zero, or hold null or non-finite components link with nothing; so do rows without an id, whose
+Ids are integers. Vectors that are null, zero, or hold null or non-finite components link with nothing; so do rows without an id, whose
 component is null. Vectors of different lengths never link. Equal rows count once as the same vector. Extra columns are
 passed by; an empty table gives an empty one.
 """
@@ -205,8 +205,9 @@ def embedding_dedup(embeddings: DataFrame, threshold: float = 0.9, id_col: str =
     indexed = classes.select("rep", "times", "vector").mapInArrow(_index(pivots, base), f"cell long, rep long, times long, vector {vector}, cells array<long>")
     indexed = scratch.save(indexed, "index")
     sizes = indexed.groupBy("cell").count().select("cell", F.when(F.col("count") <= cell, 1).otherwise(F.ceil(F.col("count") / (cell / 2))).cast("int").alias("blocks"))
-    # one row for each pivot, PIVOTS at most, and one for each odd length
-    placed = indexed.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    # cells of pivots are PIVOTS at most; those of lengths that the sample missed go through a plain join
+    placed = indexed.where("cell >= 0").join(F.broadcast(sizes.where("cell >= 0")), "cell").unionByName(indexed.where("cell < 0").join(sizes.where("cell < 0"), "cell"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("cell", F.least("block", "other").alias("lower"), F.greatest("block", "other").alias("upper"), "block", "rep", "times", "vector", "cells")
     placed = placed.repartition("cell", "lower", "upper").sortWithinPartitions("cell", "lower", "upper")
