@@ -51,6 +51,34 @@ SENTENCES: dict[str, str] = {
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl-2.0/notice",
     "if a copy of the mpl was not distributed with this file you can obtain one at": "mpl-2.0/copy",
     "this is free and unencumbered software released into the public domain": "unlicense/domain",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "unlicense/anyone",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "lgpl-2.1/terms",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl-3.0/terms",
+    "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "lgpl/hope",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl-3.0/terms",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc/grant",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "0bsd/grant",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "isc/warranty",
+    "this software is provided as is without any express or implied warranty": "zlib/warranty",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib/grant",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following": "bsl-1.0/grant",
+    "distributed under the boost software license version 1 0": "bsl-1.0/short",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at": "epl-2.0/notice",
+    "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed": "wtfpl/copy",
+    "this font software is licensed under the sil open font license version 1 1": "ofl-1.1/notice",
+    "this database is made available under the open database license": "odbl-1.0/notice",
+    "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law including all related and neighboring rights to the extent allowed by law": "cc0-1.0/deed",
+    "licensed under cc by nd 4 0": "cc-by-nd-4.0/short",
+    "licensed under cc by nc sa 4 0": "cc-by-nc-sa-4.0/short",
+    "licensed under cc by nc nd 4 0": "cc-by-nc-nd-4.0/short",
+    "this work is licensed under a creative commons attribution noderivatives 4 0 international license": "cc-by-nd-4.0/short",
+    "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license": "cc-by-nc-sa-4.0/short",
+    "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license": "cc-by-nc-nd-4.0/short",
+    "this project is licensed under the mit license": "mit/short",
+    "this software is released under the mit license": "mit/short",
+    "this project is licensed under the apache license version 2 0": "apache-2.0/short",
+    "licensed under the isc license": "isc/short",
+    "use of this source code is governed by a bsd style license that can be found in the license file": "bsd-style/notice",
 }
 
 #: Ordered rules: licence and the sequence that shows it; of two that a sequence meets, the earlier one's licence counts first.
@@ -74,6 +102,25 @@ RULES: list[tuple[str, list[str]]] = [
     ("BSD-2-Clause", ["bsd-2-clause/short"]),
     ("MPL-2.0", ["mpl-2.0/notice"]),
     ("Unlicense", ["unlicense/domain"]),
+    ("Unlicense", ["unlicense/anyone"]),
+    ("LGPL-2.1", ["lgpl-2.1/terms", "lgpl/hope"]),
+    ("LGPL-3.0", ["lgpl-3.0/terms", "lgpl/hope"]),
+    ("AGPL-3.0", ["agpl-3.0/terms", "gpl/hope"]),
+    ("ISC", ["isc/grant", "isc/warranty"]),
+    ("ISC", ["isc/short"]),
+    ("0BSD", ["0bsd/grant", "isc/warranty"]),
+    ("Zlib", ["zlib/warranty", "zlib/grant"]),
+    ("BSL-1.0", ["bsl-1.0/grant"]),
+    ("BSL-1.0", ["bsl-1.0/short"]),
+    ("EPL-2.0", ["epl-2.0/notice"]),
+    ("WTFPL", ["wtfpl/copy"]),
+    ("OFL-1.1", ["ofl-1.1/notice"]),
+    ("ODbL-1.0", ["odbl-1.0/notice"]),
+    ("CC0-1.0", ["cc0-1.0/deed"]),
+    ("CC-BY-ND-4.0", ["cc-by-nd-4.0/short"]),
+    ("CC-BY-NC-SA-4.0", ["cc-by-nc-sa-4.0/short"]),
+    ("CC-BY-NC-ND-4.0", ["cc-by-nc-nd-4.0/short"]),
+    ("BSD-style", ["bsd-style/notice"]),
 ]
 
 #: Marks of a normalised text: the end of a sentence, of a line, around a known sentence; and what stands for a word
@@ -82,10 +129,10 @@ END, LINE, KNOWN, OTHER = "\x01", "\x02", "\x03", "\x04"
 #: A sentence ends at a line without letters and digits, or at . ! ? ; : with white space behind it.
 SENTENCE_END = rf"(?<![.!?;:])[.!?;:]++[ \t\n\x0B\x0C]+|\n[^a-z0-9{LINE}{OTHER}]*\n"
 #: Words of which any known sentence has one; most texts hold none, and are done at once.
-WORDS = r"(?i)licen[sc]e|permission|redistribut|warrant|unencumbered|\bmpl\b"
+WORDS = r"(?i)licen[sc]e|permission|redistribut|warrant|unencumbered|anyone is free|associated a work|\bmpl\b"
 #: How the SQL cuts and looks: from stop or line end to the next one, so it agrees where no known sentence holds one.
 SPLIT = r"[.!?;:]+[ \t\r\n\x0B\x0C]+|[\r\n]+"
-HINT = r"(?i)licen[sc]e|permission|redistribut|warrant|free software|public domain|above copyright|copy of the mpl"
+HINT = r"(?i)licen[sc]e|permission|redistribut|warrant|free software|public domain|above copyright|anyone is free|copy of the mpl"
 
 
 def normalised(text: Column) -> Column:
