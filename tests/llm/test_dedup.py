@@ -55,6 +55,28 @@ def test_minhash_of_nothing(spark):
     assert mh.minhash_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_band_buckets_are_sifted_to_forests_of_possible_pairs():
+    rng = np.random.default_rng(32)
+    base = rng.integers(0, 2**63, 300).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[: 300 - 15 * i], rng.integers(0, 2**63, 15 * i).astype(np.uint64)])) for i in range(12)]
+    sketches, sizes = mh.odd_sketches(mh.signatures(sets)), np.array([len(s) for s in sets])
+    z = np.bitwise_count(sketches[:, None] ^ sketches[None]).sum(-1)
+    ok, bits = mh.possible_pairs(sketches, sizes, 85, slice(0, 12))
+    assert (bits == z).all()
+    for i in range(12):
+        for j in range(12):
+            assert ok[i, j] == (i < j and z[i, j] <= mh.largest_count(0.85) and 100 * min(sizes[i], sizes[j]) >= 85 * max(sizes[i], sizes[j]))
+            same = len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j]))
+            assert same < 0.85 or i >= j or ok[i, j]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * 12 + [2]), pa.array([*range(12), 5]), pa.array([*sizes.tolist(), 3]), pa.array([s.tobytes() for s in sketches] + [sketches[0].tobytes()])], names=["band", "rep", "n", "s"])
+    links = [(a, b) for out in mh._bucket_forests(85)([batch]) for a, b in zip(*(c.to_pylist() for c in out.columns), strict=True)]
+    want = union_find(12, *np.nonzero(ok))
+    got = union_find(12, np.array([a for a, _ in links], int), np.array([b for _, b in links], int))
+    assert got.tolist() == want.tolist() and len(links) < 12
+
+
 def test_odd_sketches_estimate_high_similarities():
     rng = np.random.default_rng(1)
     for share in (0.7, 0.85, 0.95):
@@ -93,6 +115,45 @@ def test_suffix_arrays_against_all_windows(spark, shard):
     assert [got[i] for i in range(len(texts))] == _repeat_brute([(t or "").encode() for t in texts], 40)
 
 
+def test_chunks_of_a_long_text_name_the_same_windows(monkeypatch):
+    rng = np.random.default_rng(31)
+    for n in (10, 39, 40, 41, 200, 999):
+        data = rng.integers(97, 100, n).astype(np.uint8)
+        windows = lambda found: {p: int(name) for name, lo, hi, _ in zip(*found, strict=True) for p in range(lo, hi - 39)}
+        text = np.where(rng.random(n) < 0.2, 32, data).astype(np.uint8)
+        whole, words = windows(sa.runs(data, 40)), [x.tolist() for x in sa.word_windows(text, 3, 30)]
+        monkeypatch.setattr(sa, "CHUNK", 50)
+        assert windows(sa.runs(data, 40)) == whole and len(whole) == max(0, n - 39)
+        assert [x.tolist() for x in sa.word_windows(text, 3, 30)] == words
+        monkeypatch.undo()
+
+
+def test_kept_text_has_whole_characters_only(spark):
+    shared = "é" * 30
+    rows = [(1, "a" + shared + "ç"), (2, "b" + shared + "Ã"), (3, "xyz"), (4, None)]
+    got = {r.doc_id: r for r in sa.suffix_array_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 41).collect()}
+    assert got[1].kept == "a" and got[1].n_bytes - got[1].n_removed == 2  # the last letters share their first byte
+    assert (got[2].kept, got[3].kept, got[4].kept) == ("b", "xyz", "")
+    assert sa.suffix_array_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_hot_text_is_dealt_to_several_tasks(spark, monkeypatch):
+    from chronolith.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    monkeypatch.setattr(common, "HOT_SHARE", 4)
+    rows = spark.range(100).selectExpr("id", "case when id < 70 then 'hot' when id < 90 then concat('k', id % 5) end as k").repartition(3)
+    few = spark.createDataFrame([("hot", 1), ("k1", 2), ("z", 3)], "k string, v int")
+    got = {r.id: r.v for r in common.join_spread(rows, few, "k", "id").collect()}
+    assert got == {i: 1 if i < 70 else 2 if i < 90 and i % 5 == 1 else None for i in range(100)}
+    text = "some words that stand in every copy of this text " * 10
+    docs = spark.createDataFrame([(i, text if i % 2 else f"{i} {text}") for i in range(40)] + [(None, text)] * 20, "doc_id long, text string").repartition(4)
+    got = sa.suffix_array_dedup(docs, 40).collect()
+    assert len(got) == 60 and all(r.n_removed >= len(text) - 1 for r in got)
+    links = mh.minhash_dedup(docs).collect()
+    assert len(links) == 60 and {r.component_id for r in links if r.doc_id is not None} == {0} and all(r.component_id is None and r.kept for r in links if r.doc_id is None)
+
+
 def test_suffix_array_order_and_prefixes():
     rng = np.random.default_rng(3)
     for _ in range(60):
@@ -132,6 +193,12 @@ def test_embeddings_against_all_pairs(spark):
         assert all(got[i] == (0, i, True) for i in range(900, 905)) and got[905] == (1, 905, True) and got[906] == (1, 905, False) and got[None] == (0, None, True)
 
 
+def test_embeddings_of_nothing(spark):
+    assert rabitq.embedding_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    odd = spark.createDataFrame([(1, None), (2, []), (3, [0.0, 0.0])], "vec_id long, embedding array<float>")
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in rabitq.embedding_dedup(odd).collect()) == [(i, 0, i, True) for i in (1, 2, 3)]
+
+
 def test_estimates_are_unbiased_within_their_bounds():
     rng = np.random.default_rng(6)
     x = rabitq._unit(rng.standard_normal((300, 64)))

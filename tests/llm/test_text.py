@@ -67,6 +67,43 @@ def test_fingerprints_and_the_next_document(spark, monkeypatch, stretch):
     assert syncmers.fingerprints(df.limit(0)).count() == 0
 
 
+def test_texts_without_syncmers_are_like_themselves_only():
+    rng = random.Random(19)
+    bare = [t for t in ("".join(rng.choice("abcdefgh ij") for _ in range(rng.randrange(1, 18))) for _ in range(400)) if len(syncmers._syncmers(syncmers._codes(t), syncmers.K, syncmers.S)[1]) == 0]
+    assert any(len(t) >= syncmers.K for t in bare) and len(syncmers.sketch("")[0]) == 0
+    for a, b in zip(bare, bare[1:], strict=False):
+        x, y = syncmers.sketch(a), syncmers.sketch(b)
+        assert len(x[0]) == 1 and syncmers.likeness(x, x) == 1.0 and syncmers.likeness(x, y) == float(a == b) and syncmers.likeness(x, syncmers.sketch("")) == 0.0
+
+
+def test_long_texts_in_chunks_have_the_same_syncmers(monkeypatch):
+    rng = random.Random(20)
+    for n in (1, 11, 12, 99, 100, 101, 700):
+        text = "".join(rng.choice("abcdefg hi") for _ in range(n))
+        whole = syncmers.syncmers(text)
+        monkeypatch.setattr(syncmers, "CHUNK", 100)
+        for x, y in zip(whole, syncmers.syncmers(text), strict=True):
+            assert x.tolist() == y.tolist()
+        monkeypatch.undo()
+
+
+def test_likeness_is_the_longest_common_order_of_anchors():
+    rng = random.Random(21)
+    for _ in range(40):  # few different anchors, with repeats; brute force over the n-th places of each
+        texts = []
+        for _ in range(2):
+            hashes = np.sort(np.array([rng.randrange(5) for _ in range(rng.randrange(1, 9))], np.uint64))
+            places = np.array(rng.sample(range(50), len(hashes)))
+            order = np.lexsort((places, hashes))
+            texts.append((hashes[order], places[order]))
+        pairs = []
+        for h in range(5):
+            a, b = (sorted(p[x == h].tolist()) for x, p in texts)
+            pairs += list(zip(a, b, strict=False))
+        best = max(bin(m).count("1") for m in range(1 << len(pairs)) if all((a < c) == (b < d) for (a, b) in [p for i, p in enumerate(pairs) if m >> i & 1] for (c, d) in [p for i, p in enumerate(pairs) if m >> i & 1] if (a, b) != (c, d)))
+        assert syncmers.likeness(*texts) == 2 * best / sum(len(h) for h, _ in texts)
+
+
 def test_syncmers_are_free_of_context():
     rng = random.Random(9)
     passage = "".join(rng.choice("abcdefghijk ") for _ in range(400))
@@ -129,6 +166,50 @@ def test_toxicity_learns_sentences_from_documents(spark):
     assert none == 0.0
 
 
+def _noisy_or(weights, leak, text):
+    left = 1 - 1 / (1 + np.exp(-leak))
+    for s in toxicity.SENTENCE.findall(text.lower()):
+        z = toxicity.PLAIN + sum(weights.get(f, 0.0) for w in set(toxicity.WORD.findall(s)) for f in toxicity.features(w))
+        left *= 1 - 1 / (1 + np.exp(-z))
+    return 1 - left
+
+
+def test_toxicity_score_and_fit_are_those_of_the_noisy_or():
+    rng = random.Random(22)
+    words = ["ab", "cd", "grumble", "grumbling", "ef", "snarl"]
+    model = toxicity.Model({"grumble": 9.0, "grumbl*": 3.0, "snarl": 15.0}, -3.0)
+    for _ in range(50):
+        text = "".join(rng.choice([*words, ". ", " ", "!"]) + " " for _ in range(rng.randrange(0, 25)))
+        assert abs(model.score(text) - _noisy_or(model.weights, model.leak, text)) < 1e-9
+    rows = [(". ".join(" ".join(rng.choice(words[:2] + words[4:5]) for _ in range(4)) for _ in range(3)) + (" snarl." if i % 4 == 0 else "."), int(i % 4 == 0 and i % 20 > 0 or i % 20 == 1), 1.0) for i in range(80)]
+    fitted = toxicity.fit(rows)
+
+    def loss(weights, leak):
+        p = np.clip([_noisy_or(weights, leak, t) for t, _, _ in rows], 1e-12, 1 - 1e-12)
+        y = np.array([label for _, label, _ in rows])
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)) + toxicity.DECAY / 2 * sum(w * w for w in weights.values()) / max(1, len(weights))
+
+    assert set(fitted.weights) == {"snarl"}
+    best = loss(fitted.weights, fitted.leak)  # no step in either direction gets lower
+    for d in (-0.3, 0.3):
+        assert best <= loss({"snarl": fitted.weights["snarl"] + d}, fitted.leak) + 1e-4 and best <= loss(fitted.weights, fitted.leak + d) + 1e-4
+
+
+def test_a_text_too_long_for_the_sample_is_passed_over(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 60_000)
+    rng = random.Random(23)
+    docs = [(i, " ".join(rng.choice(["ka", "lo", "mi"]) for _ in range(10)) + (" scoundrel." if i % 4 == 0 else ".")) for i in range(400)]
+    labels = [(i, int(i % 4 == 0)) for i in range(400)]
+    long_ones = [(i, "ka " * 30_000) for i in range(1000, 1040)]
+    df = spark.createDataFrame(docs + long_ones, "doc_id long, text string")
+    lab = spark.createDataFrame(labels + [(i, 1) for i, _ in long_ones], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(df, lab).collect()}
+    assert all(got[i] == int(i % 4 == 0) for i in range(400))
+    empty = toxicity.toxicity(df.limit(0), lab)
+    assert empty.count() == 0 and toxicity.without_toxic(df.limit(0), lab).count() == 0
+    assert {r.score for r in toxicity.toxicity(df, lab.limit(0)).collect()} == {0.0}
+
+
 def test_licenses_by_ordered_sentences(spark):
     grant, notice, warranty = (s for s, i in licenses.SENTENCES.items() if i in ("mit/grant", "mit/notice", "mit/warranty"))
     rows = [
@@ -176,8 +257,16 @@ Unless required by applicable law or agreed to in writing, software distributed
 
 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.""",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "AGPL-3.0": GPL.format(mark=":", stop=",", version=3).replace("GNU General", "GNU Affero General"),
+    "LGPL-2.1": GPL.format(mark=";", stop=";", version="2.1").replace("program", "library").replace("GNU General", "GNU Lesser General"),
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE.""",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:""",
 }
-COUNTS = {"GPL-3.0": 2, "GPL-2.0": 2, "MPL-2.0": 2, "MIT": 3, "Apache-2.0": 5, "BSD-3-Clause BSD-2-Clause": 4, "Unlicense": 1}
+COUNTS = {"AGPL-3.0": 2, "LGPL-2.1": 2, "ISC": 2, "Zlib": 2, "GPL-3.0": 2, "GPL-2.0": 2, "MPL-2.0": 2, "MIT": 3, "Apache-2.0": 5, "BSD-3-Clause BSD-2-Clause": 4, "Unlicense": 1}
 
 
 @pytest.mark.parametrize("width", [10_000, 75, 30])
@@ -218,6 +307,8 @@ def test_packing_places_every_piece(spark):
     got = packing.pack(df, max_tokens=64, buckets=4, budget=256, slice_rows=10).toPandas()
     assert got[got.doc_id == 402].n_tokens.sort_values().tolist() == [18, 64, 64, 64]
     assert got.n_tokens.sum() == sum(len((t or "").split()) for _, t in rows)
+    texts = got.sort_values(["doc_id", "piece"]).groupby("doc_id").text.apply("".join)
+    assert all(texts[i] == (t or "") for i, t in rows if i != 7) and all(len(t.split()) == n for t, n in zip(got.text, got.n_tokens, strict=True))
     assert got[got.n_tokens == 0].bucket_tokens.isna().all() and (got.n_tokens == 0).sum() == 2
     full = got[got.n_tokens > 0]
     assert (full.n_tokens <= full.bucket_tokens).all() and (full.n_padding == full.bucket_tokens - full.n_tokens).all() and full.bucket_tokens.nunique() <= 4
@@ -227,6 +318,25 @@ def test_packing_places_every_piece(spark):
         last = full[full.bucket_tokens == bound].batch.max()
         assert len(g) == room or batch == last
     assert packing.pack(df.limit(0)).count() == 0
+    nulls = spark.createDataFrame([(None, "a b c")] * 300, "doc_id long, text string").repartition(4)
+    packed = packing.pack(nulls, budget=30, slice_rows=10).toPandas()
+    assert len(packed) == 300 and packed.batch.nunique() == 30 and packed.groupby("batch").size().eq(10).all()
+
+
+def test_pieces_of_any_text_and_chunk(monkeypatch):
+    rng = random.Random(24)
+    import pyarrow as pa
+
+    texts = ["".join(rng.choice(["a", "é", " ", "\n", "\x0b", "\u00a0"]) for _ in range(rng.randrange(0, 60))) for _ in range(60)] + [None, "", "   ", "x"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    for chunk in (packing.CHUNK, 7):
+        monkeypatch.setattr(packing, "CHUNK", chunk)
+        got = packing._pieces(4)(batch).to_pandas()
+        for i, t in enumerate(texts):
+            own = got[got.doc_id == i]
+            words = [w for w in (t or "").replace("\x0b", " ").replace("\n", " ").split(" ") if w]
+            assert "".join(own.text) == (t or "") and own.n_tokens.sum() == len(words) and own.piece.tolist() == list(range(max(1, -(-len(words) // 4))))
+            assert own.first_token.tolist() == [4 * p for p in own.piece] and (own.n_tokens <= 4).all()
 
 
 def test_warc_round_trip(spark):
@@ -259,8 +369,10 @@ def test_transcripts_in_segments_and_as_one(spark):
     rows += [(None, 0, "user", None), (None, None, "user", ""), (41, 0, "nobody", "hi"), (41, 0, "user", "hi")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("conv", F.lit(1))
     one = transcripts.recover_roles(df).toPandas().sort_values(["conv_id", "turn", "rendered"]).reset_index(drop=True)
-    cut = transcripts.recover_roles(df, segment=2).toPandas().sort_values(["conv_id", "turn", "rendered"]).reset_index(drop=True)
-    assert len(one) == len(rows) and one.equals(cut)
+    assert len(one) == len(rows)
+    for fan in (transcripts.FAN, 2):
+        cut = transcripts.recover_roles(df.repartition(5), segment=2, fan=fan).toPandas().sort_values(["conv_id", "turn", "rendered"]).reset_index(drop=True)
+        assert one.equals(cut)
     truth = {(c, t): r for c, t, r, _ in rows if c is not None and c < 40}
     hit = [truth[c, t] == r for c, t, r in zip(one.conv_id, one.turn, one.role, strict=True) if (c, t) in truth]
     assert np.mean(hit) > 0.93
@@ -269,6 +381,34 @@ def test_transcripts_in_segments_and_as_one(spark):
     assert transcripts.recover_roles(df.limit(0)).count() == 0
 
 
+def test_transcripts_of_hot_turns_null_ids_and_other_types(spark):
+    hmm = transcripts.fit([(1, "user", True, "user: hi?"), (1, "assistant", True, "ai: yes"), (1, "assistant", False, "more"), (1, "user", True, "user: ok")])
+    rows = [(None, "1", "user: a?"), (None, "2", "ai: b"), ("", "1", "user: c?"), ("", "2", "ai: d"), ("x", None, "user: e"), ("x", "no number", "ai: f"), ("x", "3", None)] + [("hot", "7", f"user: {i % 3}")for i in range(200)]
+    df = spark.createDataFrame(rows, "conv_id string, turn string, text string").repartition(4)
+    got = transcripts.parse_transcripts(df, hmm, segment=8, fan=3).toPandas()
+    assert len(got) == len(rows) and got.conv_id.isna().sum() == 2 and (got.conv_id == "").sum() == 2
+    null, blank = got[got.conv_id.isna()].sort_values("turn").rendered.tolist(), got[got.conv_id == ""].sort_values("turn").rendered.tolist()
+    assert null[0].startswith("<|user|>") and blank[0].startswith("<|user|>") and null[1].endswith("b\n<|end|>\n") and blank[1].endswith("d\n<|end|>\n")
+    hot = got[got.conv_id == "hot"]
+    assert hot.rendered.str.match(r"<\|(?!end)").sum() == 1 and hot.rendered.str.endswith("<|end|>\n").sum() == 1
+    long_row = spark.createDataFrame([(1, 1, "user: x\n" * 30_000)], "conv_id int, turn int, text string")
+    assert transcripts.parse_transcripts(long_row, hmm).first().n_turns >= 1
+
+
+def test_segments_of_matrices_give_the_path_of_one_pass():
+    rng = random.Random(25)
+    hmm = transcripts.fit([(1, "user", True, "user: hi?"), (1, "assistant", True, "ai: yes"), (1, "assistant", False, "more"), (1, "system", True, "sys: ok")])
+    lines = [rng.choice(["user: a?", "b", "ai: c", "d" * 50, "- e", ""]) for _ in range(60)]
+    emit = hmm.emissions(lines)
+    import pandas as pd
+
+    part = pd.DataFrame({"conv": "c", "number": range(6), "up": 0, "start": -1, "stop": -1, "matrix": [hmm.product(emit[a : a + 10], a == 0).ravel() for a in range(0, 60, 10)]})
+    ends = transcripts._between(part)
+    path = np.concatenate([hmm.decode(emit[10 * i : 10 * i + 10], None if b < 0 else b, s) for i, b, s in zip(ends.number, ends.before, ends["last"], strict=True)])
+    score = lambda p: hmm.start[p[0]] + hmm.move[p[:-1], p[1:]].sum() + emit[np.arange(60), p].sum()
+    assert abs(score(path) - score(hmm.decode(emit, None, None))) < 1e-9  # of equally good paths, any
+
+
 def test_viterbi_finds_the_best_path():
     from itertools import product
 
