@@ -159,8 +159,8 @@ def with_next(rows: DataFrame) -> DataFrame:
     previous = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("o")) if before else F.lit(None).cast("int")
     both = placed.withColumn("at", F.explode(F.filter(F.array(F.struct(F.col("stretch"), F.lit(0).alias("tail")), F.struct(previous.alias("stretch"), F.lit(1).alias("tail"))), lambda x: x["stretch"].isNotNull())))
     both = both.select("at.stretch", "at.tail", "o", "doc_id", "text")
-    # ranges of stretches: a hash of so few keys would put several into one task
-    return both.repartitionByRange(max(n, 1), "stretch").sortWithinPartitions("stretch", "tail", "o", "text")
+    # a stretch is a task: a hash of so few keys would put several into one
+    return both.repartitionById(max(n, 1), F.col("stretch").cast("int")).sortWithinPartitions("stretch", "tail", "o", "text")
 
 
 def _compare(k: int, s: int, id_type: pa.DataType):
