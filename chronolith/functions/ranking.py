@@ -9,7 +9,7 @@ from .timeexpr import temporal_distance, temporal_overlap
 
 # Default weights of entity and edge ranks: alignment, proximity, degree, (edge weight,) relevance (fixed values).
 ENTITY_WEIGHTS = {"alignment": 0.4, "proximity": 0.3, "degree": 0.2, "relevance": 0.1}
-EDGE_WEIGHTS = {"alignment": 0.35, "proximity": 0.15, "degree": 0.05, "weight": 0.15, "relevance": 0.3}
+EDGE_WEIGHTS = {"alignment": 0.35, "proximity": 0.15, "degree": 0.05, "weight": 0.15, "relevance": 0.35}
 # Weights by kind of query (fixed values).
 PRESETS = {
     "general": {"alignment": 0.3, "proximity": 0.2, "degree": 0.3, "relevance": 0.2},
@@ -43,6 +43,12 @@ def lexical_relevance(query: Column, name: Column, description: Column) -> Colum
     return F.when(whole, 1.0).when(word, 0.5).otherwise(0.0)
 
 
+def semantic_relevance(query: Column, own: Column) -> Column:
+    """The cosine of two vectors, 0 if it is negative or there is none."""
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return F.greatest(F.lit(0.0), F.coalesce(dot(query, own) / F.nullif(F.sqrt(dot(query, query)) * F.sqrt(dot(own, own)), F.lit(0.0)), F.lit(0.0)))
+
+
 def alignment(query_times: Column, own_times: Column) -> Column:
     """Share of the query's times that overlap one of the own ones."""
     hit = F.filter(query_times, lambda q: F.exists(own_times, lambda t: temporal_overlap(q, t)))

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 # Character references that occur in scraped text and what they stand for; the ampersand's comes last (fixed values).
 REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#34;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
 
+# Further character references of common names (fixed values).
+NAMED = {"&copy;": "©", "&reg;": "®", "&trade;": "™", "&euro;": "€", "&pound;": "£", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”", "&bull;": "•", "&eacute;": "é", "&uuml;": "ü", "&ouml;": "ö", "&auml;": "ä", "&szlig;": "ß"}
+
 # Families of words and the phrase that a query with one of them gets (fixed values).
 QUERY_FAMILIES = [
     (["earnings", "revenue", "profit", "loss", "growth", "decline", "quarter", "annual"], "financial performance metrics business data"),
@@ -30,7 +33,7 @@ def args_hash(*columns: Column) -> Column:
 def clean_text(text: Column) -> Column:
     """Without white space at the ends, character references and control characters."""
     text = F.regexp_replace(text, "^[ \\t\\r\\n]+|[ \\t\\r\\n]+$", "")
-    for reference, character in REFERENCES.items():
+    for reference, character in (NAMED | REFERENCES).items():
         text = F.replace(text, F.lit(reference), F.lit(character))
     return F.regexp_replace(text, "[\\x00-\\x1f\\x7f-\\x9f]", "")
 
@@ -135,6 +138,11 @@ def report_text(title: Column, summary: Column, findings: Column) -> Column:
     return F.concat(F.lit("# "), title, F.lit("\n\n"), summary, F.lit("\n\n"), F.array_join(sections, "\n\n"))
 
 
-def relation_key(src: Column, tgt: Column, ts: Column) -> Column:
-    """The three parts as a struct: names may hold any separator."""
-    return F.struct(src.alias("src"), tgt.alias("tgt"), ts.alias("ts"))
+def stored_attribute(value: Column, kind: str) -> Column:
+    """An attribute as graph files hold it: nulls empty, maps, structs and arrays as JSON, anything else as text."""
+    return F.coalesce(F.to_json(value) if kind.startswith(("map", "struct", "array")) else value.cast("string"), F.lit(""))
+
+
+def restored_map(value: Column) -> Column:
+    """A map that ``stored_attribute`` wrote; null for what is none."""
+    return F.from_json(value, "map<string,string>")

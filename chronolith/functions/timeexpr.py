@@ -247,6 +247,17 @@ def parent_time(ts: Column, level: str) -> Column:
     return format_level(time_start(ts), level)
 
 
+def time_path(ts: Column) -> Column:
+    """array<struct<kind, ts>> of a canonical time: its ancestors from the year down, then itself; null for anything else.
+
+    Weeks hang on their quarter.
+    """
+    kind, start = time_level(ts), time_start(ts)
+    rank = F.element_at(literal_map(LEVELS), kind)
+    above = F.array(*[F.when(F.lit(i) < rank, F.struct(F.lit(lv).alias("kind"), format_level(start, lv).alias("ts"))) for i, lv in enumerate(["year", "quarter", "month"])])
+    return F.when(kind != "unknown", F.concat(F.array_compact(above), F.array(F.struct(kind.alias("kind"), ts.alias("ts")))))
+
+
 def time_series(start: Column, end: Column, level: str) -> Column:
     """All canonical times of a level from that of ``start`` to the last one that begins by the start of ``end``."""
     step = {"year": "INTERVAL 1 YEAR", "quarter": "INTERVAL 3 MONTH", "month": "INTERVAL 1 MONTH", "week": "INTERVAL 7 DAY", "date": "INTERVAL 1 DAY"}[level]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -30,6 +30,37 @@ def token_windows(docs: DataFrame, size: int = 1200, overlap: int = 100, id_col:
     return rows.select("full_doc_id", "chunk_order_index", count.alias("tokens"), content.alias("content"))
 
 
+def coded_windows(
+    docs: DataFrame,
+    encode: Callable[[str], list[int]],
+    decode: Callable[[list[int]], str],
+    size: int = 1200,
+    overlap: int = 100,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    title_col: str | None = None,
+) -> DataFrame:
+    """``token_windows`` of a tokenizer of one's own: ``encode`` and ``decode`` run in Arrow batches of whole documents."""
+    id_type = dict(docs.dtypes)[id_col]
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for pdf in batches:
+            out = []
+            for key, text, title in zip(pdf["k"], pdf["t"], pdf["h"], strict=True):
+                toks, head = encode(text), encode(title)
+                room = size - len(head)
+                if room <= 0:
+                    raise ValueError("a title leaves no room in its chunks")
+                for i, a in enumerate(range(0, len(toks), max(1, room - overlap))):
+                    own = head + toks[a : a + room]
+                    out.append((key, i, len(own), decode(own)))
+            yield pd.DataFrame(out, columns=["full_doc_id", "chunk_order_index", "tokens", "content"])
+
+    title = F.coalesce(F.col(title_col), F.lit("")) if title_col else F.lit("")
+    rows = docs.select(F.col(id_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), title.alias("h"))
+    return rows.mapInPandas(run, f"full_doc_id {id_type}, chunk_order_index int, tokens int, content string")
+
+
 def keyed_chunks(chunks: DataFrame) -> DataFrame:
     """Chunks under the md5 of their content; of equal contents the last in order stays."""
     keyed = chunks.withColumn("chunk_id", hash_id(F.col("content"), "chunk-"))

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_id, sanitize, split_markers
-from ..functions.timeexpr import canonical, level_number, normalize_time, time_level
+from ..functions.timeexpr import canonical, format_level, level_number, normalize_time, time_end, time_level, time_start
+from .graph import by_distinct
 
 # Delimiters of the grammar and of packed fields (fixed values).
 FIELD, RECORD, COMPLETE, PACKED = "<|>", "##", "<|COMPLETE|>", "<SEP>"
@@ -61,27 +62,72 @@ def relations(parsed: DataFrame, key: str) -> DataFrame:
     at = F.when(F.col("route") == "temporal", 2).when(F.col("route") == "mined", 1).otherwise(0)
     src, tgt = F.upper(F.get("attrs", at)), F.upper(F.get("attrs", at + 1))
     rows = rows.select(key, "pos", src.alias("src"), tgt.alias("tgt"), raw.alias("raw_timestamp"), F.element_at("attrs", -1).alias("description"), "route")
-    rows = rows.where("src <> '' and tgt <> ''").withColumn("ts", F.when(F.col("raw_timestamp") == UNKNOWN_TIME, F.col("raw_timestamp")).otherwise(canonical(F.col("raw_timestamp"))))
+    # few different spellings, many relations: each spelling is normalised once
+    rows = by_distinct(rows.where("src <> '' and tgt <> ''"), "raw_timestamp", "ts", lambda x: F.when(x == UNKNOWN_TIME, x).otherwise(canonical(x)))
     level = F.coalesce(level_number(time_level(F.col("ts"))), F.lit(1))
     return rows.select(key, "pos", "src", "tgt", "ts", "raw_timestamp", F.when(F.col("ts") == UNKNOWN_TIME, 1).otherwise(level).alias("level"), "description", "route")
 
 
 def time_constraints(parsed: DataFrame, key: str) -> DataFrame:
-    """``(key, pos, logic, timestamps array, level)`` of query-time records: at, before, after, between."""
+    """``(key, pos, logic, timestamps array, level)`` of query-time records: at, before, after, between.
+
+    The ends of a range of two levels are brought to the finer one: the earlier to the first, the later to the last time of
+    that level in it.
+    """
     logic = F.lower(_attr(1))
     rows = parsed.where(F.lower(_attr(0)).contains("entity") & logic.isin("at", "before", "after", "between"))
     two = (logic == "between") & (F.size("attrs") >= 5)
-    times = F.when(two, F.array_sort(F.array(canonical(_attr(2)), canonical(_attr(3))))).otherwise(F.array(canonical(_attr(2))))
-    rows = rows.where((logic != "between") | two).select(key, "pos", logic.alias("logic"), times.alias("timestamps"))
+    rows = rows.where((logic != "between") | two).select(key, "pos", logic.alias("logic"), two.alias("two"), canonical(_attr(2)).alias("a"), F.when(two, canonical(_attr(3))).alias("b"))
+    later = F.col("two") & (time_start(F.col("a")) > time_start(F.col("b")))
+    rows = rows.withColumns({"lo": F.when(later, F.col("b")).otherwise(F.col("a")), "hi": F.when(later, F.col("a")).otherwise(F.col("b"))})
+    number = lambda c: level_number(time_level(F.col(c)))
+    finer = lambda c, day: F.when(F.col("fine") == 3, format_level(day, "date")).when(F.col("fine") == 2, format_level(day, "month")).when(F.col("fine") == 1, format_level(day, "quarter")).otherwise(F.col(c))
+    known = (time_level(F.col("lo")) != "unknown") & (time_level(F.col("hi")) != "unknown")
+    rows = rows.withColumn("fine", F.greatest(number("lo"), number("hi")))
+    lo = F.when(known & (number("lo") < F.col("fine")), finer("lo", time_start(F.col("lo")))).otherwise(F.col("lo"))
+    hi = F.when(known & (number("hi") < F.col("fine")), finer("hi", time_end(F.col("hi")))).otherwise(F.col("hi"))
+    rows = rows.select(key, "pos", "logic", F.when(F.col("two"), F.array(lo, hi)).otherwise(F.array("a")).alias("timestamps"))
     finest = F.array_max(F.transform("timestamps", lambda t: level_number(time_level(t))))
     return rows.withColumn("level", finest)
 
 
+def claims(parsed: DataFrame, key: str) -> DataFrame:
+    """``(key, pos, subject, object, claim_type, status, start, end, description, quote)`` of claim records of eight fields.
+
+    Subject and object are upper-cased, times get their canonical form; records with fewer fields are dropped.
+    """
+    rows = parsed.where(F.size("attrs") >= 8)
+    name = lambda i: F.upper(_attr(i))
+    return rows.select(key, "pos", name(0).alias("subject"), name(1).alias("object"), name(2).alias("claim_type"), name(3).alias("status"), canonical(_attr(4)).alias("start"), canonical(_attr(5)).alias("end"), _attr(6).alias("description"), _attr(7).alias("quote"))
+
+
+def cooccurring_times(edges: DataFrame, kinds: DataFrame) -> DataFrame:
+    """``(ts)``: times that stay in the relation graph, of ``edges(ts, src, tgt)`` and ``kinds(name, is_temporal)``.
+
+    An edge speaks for the first of its time, source and target that is a time, if another of its three names is an entity
+    that is none. Names without a kind are neither.
+    """
+    of = lambda c: kinds.select(F.col("name").alias(c), F.col("is_temporal").alias(f"{c}_t"))
+    rows = edges.select("ts", "src", "tgt").distinct().join(of("ts"), "ts", "left").join(of("src"), "src", "left").join(of("tgt"), "tgt", "left")
+    is_time = lambda c: F.coalesce(F.col(f"{c}_t"), F.lit(False))
+    entity = lambda c: F.coalesce(~F.col(f"{c}_t"), F.lit(False))
+    spoken = F.when(is_time("ts"), F.when(entity("src") | entity("tgt"), F.col("ts"))).when(is_time("src"), F.when(entity("ts") | entity("tgt"), F.col("src"))).when(is_time("tgt"), F.when(entity("ts") | entity("src"), F.col("tgt")))
+    return rows.select(spoken.alias("ts")).where("ts is not null").distinct()
+
+
 def granularity(parsed: DataFrame, key: str) -> DataFrame:
     """``(key, granularity)`` asked for by ``("granularity"<|>LEVEL)`` records."""
     return parsed.where(F.lower(_attr(0)).contains("granularity")).select(key, F.lower(_attr(1)).alias("granularity"))
 
 
+def split_granularity(responses: DataFrame, key: str, response: str) -> DataFrame:
+    """``(key, granularity)`` of answers to the question for a level: the first record's second attribute."""
+    parts = split_markers(F.col(response), [RECORD, COMPLETE])
+    inner = F.regexp_extract(F.get(parts, F.lit(0)), "\\((.*)\\)", 1)
+    attrs = F.transform(F.split(inner, "\\Q" + FIELD + "\\E"), sanitize)
+    return responses.select(key, F.lower(F.get(attrs, F.lit(1))).alias("granularity")).where("granularity is not null and granularity <> ''")
+
+
 def quadruples(relation_rows: DataFrame, temporal_names: DataFrame, metric: str = "(?i)^(revenue|profit|eps|margin|[$0-9.,% ]+)$") -> DataFrame:
     """``(v1, v2, e, tau, source_id, raw_timestamp)``: relations with a known time, a description, and two ends that are
     neither times nor bare financial metrics. ``temporal_names(entity_name)`` lists the times."""

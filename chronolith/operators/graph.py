@@ -7,25 +7,54 @@ description, chunk_id, seq)``; edges with maps keyed by time. Edges are undirect
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.timeexpr import LEVELS, format_level, level_number, time_level, time_start
+from ..functions.timeexpr import level_number, time_path
 from .window import last_write
 
 PACKED = "<SEP>"
 
 
+#: Rows of a counted table that may be broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names; where none is set, local mode gets one of our own, a cluster an error."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="chronolith-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that the cluster names, or in one of our own where none is set."""
+    """A checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="chronolith-")
-        context.setCheckpointDir(where)
+        context.setCheckpointDir(checkpoint_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """A table of a cut lineage, marked for broadcast if its rows are few enough."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def by_distinct(df: DataFrame, column: str, out: str, fn: Callable[[Column], Column]) -> DataFrame:
+    """``df`` with ``out``, a costly expression of ``column`` that is worked out once for each different value."""
+    values = cut_lineage(df.select(column).where(F.col(column).isNotNull()).distinct().withColumn(out, fn(F.col(column))))
+    return df.join(small(values), column, "left")
+
+
 def undirected(edges: DataFrame, src: str = "src", tgt: str = "tgt") -> DataFrame:
     """Edges with their ends in order."""
     return edges.withColumns({src: F.least(src, tgt), tgt: F.greatest(src, tgt)})
@@ -39,14 +68,21 @@ def symmetric(edges: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- merging
 
 
-def merge_nodes(rows: DataFrame) -> DataFrame:
-    """Nodes of ``(entity_name, entity_type, description, source_id, seq)``.
+def merge_nodes(rows: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Nodes of ``(entity_name, entity_type, description, source_id, seq)``, merged with ``stored`` nodes of those names.
 
     The type with most votes wins, of equals the one seen first; different descriptions and sources are sorted and
-    packed. Two aggregates, both partial before their shuffle on the name.
+    packed. A stored node has one vote for its type, after the new ones, a placeholder (``UNKNOWN``) none. Two aggregates,
+    both partial before their shuffle on the name.
     """
-    votes = rows.groupBy("entity_name", "entity_type").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"), F.collect_set("description").alias("d"), F.collect_set("source_id").alias("s"))
-    packed = lambda c: F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))), PACKED)
+    parts = lambda c: F.filter(F.split(c, f"\\Q{PACKED}\\E"), lambda x: x != "")
+    votes = rows.select("entity_name", "entity_type", F.lit(1).alias("vote"), "seq", F.array("description").alias("d"), F.array("source_id").alias("s"))
+    if stored is not None:
+        known = stored.join(rows.select("entity_name").distinct(), "entity_name", "left_semi")
+        vote = F.when(F.col("entity_type") == "UNKNOWN", 0).otherwise(1)
+        votes = votes.unionByName(known.select("entity_name", "entity_type", vote.alias("vote"), F.lit(None).cast(dict(rows.dtypes)["seq"]).alias("seq"), parts("description").alias("d"), parts("source_id").alias("s")))
+    votes = votes.groupBy("entity_name", "entity_type").agg(F.sum("vote").alias("n"), F.min("seq").alias("first"), F.collect_set("d").alias("d"), F.collect_set("s").alias("s"))
+    packed = lambda c: F.array_join(F.array_sort(F.array_distinct(F.flatten(F.flatten(F.collect_list(c))))), PACKED)
     return votes.groupBy("entity_name").agg(F.max_by("entity_type", F.struct("n", -F.col("first"))).alias("entity_type"), packed("d").alias("description"), packed("s").alias("source_id"))
 
 
@@ -76,6 +112,11 @@ def missing_endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return new.select("entity_name", F.lit("UNKNOWN").alias("entity_type"), F.lit("").alias("description"), F.lit("").alias("source_id"))
 
 
+def time_links(facts: DataFrame) -> DataFrame:
+    """``(ts, entity)``: which entities a time's facts speak of."""
+    return facts.select("ts", F.explode(F.array("src", "tgt")).alias("entity")).distinct()
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of both; of a key that both have, new values where they are not null."""
     o, n = old.alias("o"), new.alias("n")
@@ -120,62 +161,77 @@ def relation_counts(entities: DataFrame, edges: DataFrame, chunks: DataFrame) ->
 
     ``chunks(entity, chunk_id)`` are the sources of all nodes.
     """
-    own = entities.join(chunks, "entity")
-    near = entities.join(symmetric(edges).toDF("entity", "other").distinct(), "entity")
-    shared = near.join(chunks.toDF("other", "chunk_id"), "other").groupBy("entity", "chunk_id").agg(F.countDistinct("other").alias("relation_counts"))
+    own = entities.join(chunks, "entity").select("entity", "chunk_id")
+    near = symmetric(edges).toDF("entity", "other").distinct()
+    # from the entities of each chunk, which a text bounds; a hub's neighbours and all their chunks have no bound
+    shared = own.join(chunks.select(F.col("entity").alias("other"), "chunk_id"), "chunk_id").join(near, ["entity", "other"], "left_semi")
+    shared = shared.groupBy("entity", "chunk_id").agg(F.countDistinct("other").alias("relation_counts"))
     return own.join(shared, ["entity", "chunk_id"], "left").withColumn("relation_counts", F.coalesce("relation_counts", F.lit(0)))
 
 
 # ---------------------------------------------------------------- hierarchy
 
-_CHAIN = ["year", "quarter", "month", "date"]
-
 
 def hierarchy(times: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of the time hierarchy of ``(ts, source_id)`` rows.
+    """(nodes, edges) of the time hierarchy of ``(ts)`` rows.
 
-    nodes ``(ts, level, entity_type, instantiation, source_ids)`` with all ancestors, those that no row names not
-    instantiated; edges ``(parent, child, description)`` such as ``YEAR->QUARTER``. Weeks hang on their quarter.
+    nodes ``(ts, level, entity_type, instantiation)`` with all ancestors, those that no row names not instantiated;
+    edges ``(parent, child, description)`` such as ``YEAR->QUARTER``. Both follow from the different times alone, which
+    are read once.
     """
-    rows = times.withColumn("kind", time_level(F.col("ts"))).where("kind <> 'unknown'")
-    start = time_start(F.col("ts"))
-    rank = F.element_at(F.create_map(*[F.lit(x) for kv in (LEVELS | {"week": 2}).items() for x in kv]), F.col("kind"))
-    chain = F.array(*[F.when(F.lit(i) < rank, F.struct(F.lit(lv).alias("kind"), format_level(start, lv).alias("ts"))) for i, lv in enumerate(_CHAIN)])
-    own = F.struct(F.col("kind"), F.col("ts"))
-    path = rows.select(F.concat(F.array_compact(chain), F.array(own)).alias("path"), "ts", "source_id").withColumn("path", F.when(F.lit(True), F.col("path")))
-    steps = path.select(F.explode("path").alias("n"), (F.col("n.ts") == F.col("ts")).alias("own"), "source_id")
-    nodes = steps.groupBy(F.col("n.ts").alias("ts"), F.col("n.kind").alias("kind")).agg(F.max("own").alias("instantiation"), F.array_sort(F.collect_set(F.when(F.col("own"), F.col("source_id")))).alias("source_ids"))
-    nodes = nodes.select("ts", level_number(F.col("kind")).alias("level"), F.upper("kind").alias("entity_type"), "instantiation", "source_ids")
+    path = cut_lineage(times.select("ts").distinct().select("ts", time_path(F.col("ts")).alias("path")).where("path is not null"))
+    nodes = path.select(F.explode("path").alias("n"), (F.col("n.ts") == F.col("ts")).alias("own")).groupBy("n.ts", "n.kind").agg(F.max("own").alias("instantiation"))
+    nodes = nodes.select("ts", level_number(F.col("kind")).alias("level"), F.upper("kind").alias("entity_type"), "instantiation")
     pairs = path.select(F.explode(F.arrays_zip(F.slice("path", 1, F.size("path") - 1).alias("p"), F.slice("path", 2, F.size("path")).alias("c"))).alias("e")).where("e.p is not null and e.c is not null")
     edges = pairs.select(F.col("e.p.ts").alias("parent"), F.col("e.c.ts").alias("child"), F.concat(F.upper(F.col("e.p.kind")), F.lit("->"), F.upper(F.col("e.c.kind"))).alias("description")).distinct()
     return nodes, edges
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """``(ancestor, descendant)`` of hierarchy edges; the hierarchy has four levels, so two doublings reach all."""
-    pairs = edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant")).distinct()
-    for _ in range(2):
-        further = pairs.alias("a").join(pairs.alias("b"), F.col("a.descendant") == F.col("b.ancestor")).select("a.ancestor", "b.descendant")
-        pairs = pairs.union(further).distinct()
-    return pairs
+    """``(ancestor, descendant)`` of hierarchy edges, which are at most three deep: four levels."""
+    one = edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant")).distinct()
+    step = one.toDF("descendant", "further")
+    two = one.join(step, "descendant").select("ancestor", F.col("further").alias("descendant"))
+    three = two.join(step, "descendant").select("ancestor", F.col("further").alias("descendant"))
+    return one.union(two).union(three).distinct()
 
 
-def roll_up(nodes: DataFrame, edges: DataFrame, facts: DataFrame) -> DataFrame:
-    """Per time the union over itself and all descendants of entities, temporal edges and chunks, and its children.
+def reach(times: DataFrame) -> DataFrame:
+    """``(ts, ancestor)`` of different times ``(ts)``: each time and all that hold it."""
+    return cut_lineage(times.select("ts").distinct().select("ts", F.explode(time_path(F.col("ts")).getField("ts")).alias("ancestor")))
 
-    ``facts(src, tgt, ts, chunk_id)``. Rows are counted by set aggregates that merge before the shuffle.
+
+def members(facts: DataFrame, up: DataFrame | None = None) -> dict[str, DataFrame]:
+    """What each time and its descendants hold, in long form: ``node (ancestor, node)``, ``edge (ancestor, ts, src, tgt)``,
+    ``chunk (ancestor, chunk_id)``. ``facts(src, tgt, ts, chunk_id)``; no time's members are ever gathered in one row.
     """
-    reach = closure(edges).union(nodes.select(F.col("ts").alias("ancestor"), F.col("ts").alias("descendant")))
-    below = reach.join(facts.withColumnRenamed("ts", "descendant"), "descendant")
-    members = below.groupBy("ancestor").agg(
-        F.array_sort(F.array_union(F.collect_set("src"), F.collect_set("tgt"))).alias("nodes"),
-        F.array_sort(F.collect_set(F.struct(F.col("descendant").alias("ts"), "src", "tgt"))).alias("temporal_edges"),
-        F.array_sort(F.collect_set("chunk_id")).alias("chunk_ids"),
-    )
+    up = small(up if up is not None else reach(facts))
+    ends = facts.select("ts", F.explode(F.array("src", "tgt")).alias("node")).distinct()
+    return {
+        "node": ends.join(up, "ts").select("ancestor", "node").distinct(),
+        "edge": facts.select("ts", "src", "tgt").distinct().join(up, "ts").select("ancestor", "ts", "src", "tgt"),
+        "chunk": facts.select("ts", "chunk_id").distinct().join(up, "ts").select("ancestor", "chunk_id").distinct(),
+    }
+
+
+def roll_up(facts: DataFrame) -> DataFrame:
+    """``(ts, level, n_nodes, n_edges, n_chunks, sub_communities, all_sub_communities, occurrence)`` of every time.
+
+    Sizes are those of the unions over a time and all its descendants; the two arrays hold its children and descendants,
+    a calendar's worth at most. The hierarchy is worked out once, of the different times.
+    """
+    nodes, edges = (cut_lineage(x) for x in hierarchy(facts))
+    held = members(facts, reach(facts))
+    counts = None
+    for kind, rows in held.items():
+        own = rows.groupBy("ancestor").agg(F.count(F.lit(1)).alias(f"n_{kind}s"))
+        counts = own if counts is None else counts.join(own, "ancestor", "full_outer")
     children = edges.groupBy(F.col("parent").alias("ancestor")).agg(F.array_sort(F.collect_set("child")).alias("sub_communities"))
     every = closure(edges).groupBy("ancestor").agg(F.array_sort(F.collect_set("descendant")).alias("all_sub_communities"))
-    out = nodes.select(F.col("ts").alias("ancestor"), "level").join(members, "ancestor", "left").join(children, "ancestor", "left").join(every, "ancestor", "left")
-    return out.withColumnRenamed("ancestor", "ts").withColumn("occurrence", F.lit(1.0))
+    out = nodes.select(F.col("ts").alias("ancestor"), "level").join(counts, "ancestor", "left").join(children, "ancestor", "left").join(every, "ancestor", "left")
+    none = F.array().cast("array<string>")
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return out.select(F.col("ancestor").alias("ts"), "level", number("n_nodes"), number("n_edges"), number("n_chunks"), F.coalesce("sub_communities", none).alias("sub_communities"), F.coalesce("all_sub_communities", none).alias("all_sub_communities"), F.lit(1.0).alias("occurrence"))
 
 
 # ---------------------------------------------------------------- communities
@@ -253,6 +309,12 @@ def community_table(clusters: DataFrame, edges: DataFrame, chunks: DataFrame) ->
     return out.crossJoin(F.broadcast(most)).withColumn("occurrence", F.coalesce(F.size("chunk_ids") / F.nullif("most", F.lit(0)), F.lit(0.0))).drop("most")
 
 
+def with_clusters(nodes: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Nodes ``(entity_name, ..)`` with ``clusters``: JSON of their ``[{level, cluster}]`` by level, empty for none."""
+    own = clusters.groupBy(F.col("node").alias("entity_name")).agg(F.to_json(F.array_sort(F.collect_set(F.struct("level", "cluster")))).alias("clusters"))
+    return nodes.join(own, "entity_name", "left").withColumn("clusters", F.coalesce("clusters", F.lit("[]")))
+
+
 def sub_communities(lower: DataFrame, upper: DataFrame) -> DataFrame:
     """``(cluster, parent)``: clusters of the level below whose nodes all belong to one above. By shared members, not by
     trying all pairs."""
@@ -263,12 +325,46 @@ def sub_communities(lower: DataFrame, upper: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- PageRank
 
 
-def personalized_pagerank(edges: DataFrame, seeds: DataFrame | None = None, alpha: float = 0.85, max_iter: int = 100, tol: float = 1e-6) -> DataFrame:
+class Rounds:
+    """Tables of an iteration in the shared folder: the one before the last is removed when a new one is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.made = spark, f"{checkpoint_dir(spark)}/chronolith-rounds-{uuid.uuid4().hex[:12]}", 0
+
+    def save(self, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{self.root}/{self.made}")
+        if self.made > 1:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{self.made - 2}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.made += 1
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{self.made - 1}")
+
+
+#: Arcs of a graph that is small enough to be ranked in memory.
+LOCAL_ARCS = 1_000_000
+
+
+def _ranks_in_memory(arcs: DataFrame, ranks: DataFrame, alpha: float, max_iter: int, tol: float) -> DataFrame:
+    """The same iteration over a graph whose size was counted."""
+    a, r = arcs.toPandas(), ranks.toPandas().sort_values("node", ignore_index=True)
+    at = pd.Index(r["node"])
+    src, tgt, p = at.get_indexer(a["src"]), at.get_indexer(a["tgt"]), a["p"].to_numpy(float)
+    x, seed, gives = (r[c].to_numpy() for c in ("score", "seed", "gives"))
+    for _ in range(max_iter):
+        new = alpha * (np.bincount(tgt, x[src] * p, len(x)) + x[~gives.astype(bool)].sum() * seed) + (1 - alpha) * seed
+        moved, x = np.abs(new - x).sum(), new
+        if moved < len(x) * tol:
+            return ranks.sparkSession.createDataFrame(pd.DataFrame({"node": r["node"], "score": x}), "node string, score double")
+    return ranks.select("node", "score").where(F.lit(False))
+
+
+def personalized_pagerank(edges: DataFrame, seeds: DataFrame | None = None, alpha: float = 0.85, max_iter: int = 100, tol: float = 1e-6, local_arcs: int = LOCAL_ARCS) -> DataFrame:
     """``(node, score)`` of an undirected graph ``(src, tgt[, weight])``, by power iteration.
 
     ``seeds(node[, weight])``: those in the graph share the restart mass by weight; none in it, or none at all: all
     nodes alike. A node without weight to give away gives to the seeds. Stops at an L1 change below nodes * ``tol``; if
-    ``max_iter`` rounds don't reach it, the result is empty. A loop counts once. Lineage is cut in every round.
+    ``max_iter`` rounds don't reach it, the result is empty. A loop counts once. A round is one job: it writes its ranks, and
+    the change is observed meanwhile. Graphs of ``local_arcs`` arcs and nodes at most are ranked in memory, to the same end.
     """
     weight = F.col("weight") if "weight" in edges.columns else F.lit(1.0)
     one = undirected(edges.select("src", "tgt", weight.cast("double").alias("w"))).groupBy("src", "tgt").agg(F.sum("w").alias("w"))
@@ -290,16 +386,18 @@ def personalized_pagerank(edges: DataFrame, seeds: DataFrame | None = None, alph
         n = ranks.count()
     gives = arcs.select(F.col("src").alias("node")).distinct().withColumn("gives", F.lit(True))
     ranks = cut_lineage(ranks.join(gives, "node", "left").select("node", "seed", F.coalesce("gives", F.lit(False)).alias("gives"), F.lit(1.0 / max(n, 1)).alias("score")))
-    for step in range(1, max_iter + 1):
+    if n and arcs.limit(local_arcs + 1).count() <= local_arcs and n <= local_arcs:
+        return _ranks_in_memory(arcs, ranks.select("node", "seed", "gives", "score"), alpha, max_iter, tol)
+    tables = Rounds(edges.sparkSession)
+    for _ in range(max_iter):
         got = arcs.join(ranks.select(F.col("node").alias("src"), "score"), "src").groupBy(F.col("tgt").alias("node")).agg(F.sum(F.col("score") * F.col("p")).alias("got"))
         lost = ranks.where(~F.col("gives")).agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))
         new = ranks.join(got, "node", "left").crossJoin(F.broadcast(lost))
         score = alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("seed")) + (1 - alpha) * F.col("seed")
         new = new.select("node", "seed", "gives", score.alias("score"), F.abs(score - F.col("score")).alias("moved"))
-        new = cut_lineage(new)
-        change = new.agg(F.sum("moved")).first()[0] or 0.0
-        ranks = new.drop("moved")
-        if change < n * tol:
+        moved = Observation()
+        ranks = tables.save(new.observe(moved, F.sum("moved").alias("moved"))).drop("moved")
+        if (moved.get["moved"] or 0.0) < n * tol:
             return ranks.select("node", "score")
     return ranks.select("node", "score").where(F.lit(False))
 

@@ -18,7 +18,8 @@ def pack_rows(rows: DataFrame, key: str, columns: list[str], order: list[Column]
     """``(key, packed)``: a CSV block per key of the rows, in order, that fit the token budget."""
     line = csv_row(*[F.col(c) for c in columns])
     w = Window.partitionBy(key).orderBy(*order)
-    numbered = rows.withColumn("__line", line).withColumn("__n", F.row_number().over(w))
+    # a line has a token at least, so no more than ``budget`` lines of a key can fit: tasks pass on no more of theirs
+    numbered = rows.withColumn("__line", line).withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= budget)
     used = F.sum(token_count(F.col("__line"))).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     kept = numbered.withColumn("__used", used).where(F.col("__used") <= budget)
     lines = F.transform(F.array_sort(F.collect_list(F.struct("__n", "__line"))), lambda x: F.concat((x["__n"] - 1).cast("string"), F.lit(",\t"), x["__line"]))
@@ -36,14 +37,19 @@ def repair_report(parsed: Column) -> Column:
     )
 
 
-def generate_reports(contexts: DataFrame, edges: DataFrame, model: Callable[[str], str], retries: int = 3) -> DataFrame:
+def generate_reports(contexts: DataFrame, edges: DataFrame, model: Callable[[str], str], retries: int = 3, known: DataFrame | None = None) -> DataFrame:
     """``(ts, level, report_string, report_json)`` of ``contexts(ts, level, packed)``, leaves before roots.
 
     Levels are a handful, so the driver goes through them; a level's calls are Arrow batches on the executors. A node's
-    prompt ends with the reports of its children.
+    prompt ends with the reports of its children ``edges(parent, child)``; those that aren't made anew are in ``known(ts,
+    report_string)``.
     """
+    from ..functions.text import report_text
     from .graph import cut_lineage
 
+    if known is not None:
+        known = known.join(contexts.select("ts"), "ts", "left_anti").select("ts", "report_string")
+
     def call(batches):  # noqa: ANN001, ANN202
         for pdf in batches:
             out = []
@@ -60,16 +66,43 @@ def generate_reports(contexts: DataFrame, edges: DataFrame, model: Callable[[str
     done: DataFrame | None = None
     for level in sorted((r[0] for r in contexts.select("level").distinct().collect()), reverse=True):
         rows = contexts.where(F.col("level") == level).select("ts", "level", "packed")
-        if done is not None:
-            below = edges.join(done.select(F.col("ts").alias("child"), "report_string"), "child").groupBy(F.col("parent").alias("ts")).agg(F.array_join(F.array_sort(F.collect_list("report_string")), "\n").alias("below"))
+        made_before = None if done is None else done.select("ts", "report_string")
+        if known is not None:
+            made_before = known if made_before is None else made_before.union(known)
+        if made_before is not None:
+            below = edges.join(made_before.withColumnRenamed("ts", "child"), "child").groupBy(F.col("parent").alias("ts")).agg(F.array_join(F.array_sort(F.collect_list("report_string")), "\n").alias("below"))
             rows = rows.join(below, "ts", "left").select("ts", "level", F.concat_ws("\n", "packed", "below").alias("packed"))
         raw = rows.withColumnRenamed("packed", "prompt").mapInPandas(call, "ts string, level int, raw string")
         report = repair_report(F.from_json("raw", REPORT))
-        made = raw.withColumn("report_json", report).select("ts", "level", F.concat_ws("\n", "report_json.title", "report_json.summary").alias("report_string"), "report_json")
+        made = raw.withColumn("report_json", report).select("ts", "level", report_text(F.col("report_json.title"), F.col("report_json.summary"), F.col("report_json.findings")).alias("report_string"), "report_json")
         done = cut_lineage(made if done is None else done.union(made))
     return done
 
 
+def pack_sub_reports(subs: DataFrame, budget: int) -> DataFrame:
+    """``(parent, packed)``: the reports of a community's parts ``(parent, cluster, occurrence, report_string)``, those of the
+    largest occurrence first, within a token budget."""
+    order = [F.desc("occurrence"), F.col("cluster")]
+    return pack_rows(subs, "parent", ["cluster", "report_string"], order, budget, "id,\tcluster,\treport")
+
+
+def community_contexts(table: DataFrame, degrees: DataFrame, budget: int = 4000) -> DataFrame:
+    """``(ts, level, packed)`` of communities ``(cluster, level, nodes, edges)``, the cluster in place of a time: its nodes by
+    degree and its edges by their ends' degrees, half of the budget each."""
+    nodes = table.select(F.col("cluster").alias("ts"), "level", F.explode("nodes").alias("node")).join(degrees, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    first = pack_rows(nodes, "ts", ["node", "degree"], [F.desc("degree"), F.col("node")], budget // 2, "id,\tentity,\tdegree")
+    pairs = table.select(F.col("cluster").alias("ts"), F.explode("edges").alias("e")).select("ts", "e.src", "e.tgt")
+    ranked = pairs.join(degrees.toDF("src", "ds"), "src", "left").join(degrees.toDF("tgt", "dt"), "tgt", "left").withColumn("degree", F.coalesce("ds", F.lit(0)) + F.coalesce("dt", F.lit(0)))
+    second = pack_rows(ranked, "ts", ["src", "tgt", "degree"], [F.desc("degree"), F.col("src"), F.col("tgt")], budget // 2, "id,\tsource,\ttarget,\tdegree").withColumnRenamed("packed", "pairs")
+    levels = table.select(F.col("cluster").alias("ts"), F.col("level").cast("int").alias("level"))
+    return levels.join(first, "ts").join(second, "ts", "left").select("ts", "level", F.concat_ws("\n", F.concat(F.lit("Community "), "ts"), "packed", "pairs").alias("packed"))
+
+
+def single(reports: DataFrame) -> DataFrame:
+    """The one report that a question about a single community gets: the best rated, of equals the largest."""
+    return reports.orderBy(F.desc("rating"), F.desc(F.col("n_edges") + F.col("n_nodes")), "ts").limit(1)
+
+
 def select_reports(reports: DataFrame, level: int, min_rating: float = 0.0, limit: int | None = 512) -> DataFrame:
     """Reports up to a level, the first ``limit`` (None: all) by (level, edges, nodes), of enough rating, then by size
     and rating."""

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.timeexpr import level_number, parent_time, time_level, time_start
-from .graph import closure, personalized_pagerank, undirected
-from .window import token_budget, top_k
+from ..functions.text import describe_map, token_count
+from ..functions.timeexpr import extract_year, level_number, parent_time, time_level, time_start
+from .graph import closure, personalized_pagerank, relation_counts, undirected
+from .window import round_robin, token_budget, top_k
 
 
 def retrieve_times(constraints: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -75,16 +76,67 @@ def evidence(facts: DataFrame, hits: DataFrame, times: DataFrame | None, hierarc
     return top_k(chunk_scores(facts, nodes, best), [F.desc("score"), F.col("chunk_id")], k)
 
 
-def text_context(scored: DataFrame, chunks: DataFrame, budget: int, temporal_share: float = 0.2) -> DataFrame:
-    """Chunks within the token budget, best first: temporal ones within their share, the others within the rest.
+def split_budget(entities: DataFrame, relations: DataFrame, budget: int, share: float = 0.2) -> tuple[DataFrame, DataFrame]:
+    """Entities and relations, both ``(rank, description, ..)``, within their shares of a token budget: a fifth and the rest."""
+    cut = lambda rows, part: token_budget(rows.withColumn("tokens", token_count(F.coalesce("description", F.lit("UNKNOWN")))), "tokens", [F.col("rank")], int(budget * part)).drop("tokens")
+    return cut(entities, share), cut(relations, 1 - share)
 
-    ``scored(chunk_id, score, temporal)``; ids without a chunk are passed over.
+
+def text_units(entities: DataFrame, mentions: DataFrame, edges: DataFrame, chunks: DataFrame, budget: int) -> DataFrame:
+    """Chunks that speak of ranked entities ``(node, rank)``, within a token budget: ``(chunk_id, rank, relation_counts, ..)``.
+
+    ``mentions(node, chunk_id)``. A chunk stands once, with the first entity it belongs to; of one entity's chunks, those go
+    first that speak of more of its neighbours.
+    """
+    own = mentions.join(entities, "node")
+    first = own.groupBy("chunk_id").agg(F.min_by(F.struct("node", "rank"), F.struct("rank", "node")).alias("e")).select("chunk_id", F.col("e.node").alias("entity"), F.col("e.rank").alias("rank"))
+    named = mentions.select(F.col("node").alias("entity"), "chunk_id")
+    counts = relation_counts(entities.select(F.col("node").alias("entity")), edges, named).select("entity", "chunk_id", "relation_counts")
+    rows = first.join(counts, ["entity", "chunk_id"]).join(chunks, "chunk_id")
+    return token_budget(rows, "tokens", [F.col("rank"), F.desc("relation_counts"), F.col("chunk_id")], budget)
+
+
+def temporal_text(entities: DataFrame, mentions: DataFrame, chunks: DataFrame, times: list[str], budget: int) -> DataFrame:
+    """Chunks of entities, each once for every time of the question and led by it, in the order of their documents, within a
+    token budget."""
+    own = chunks.join(mentions.join(entities, "node", "left_semi").select("chunk_id").distinct(), "chunk_id")
+    rows = temporal_text_units(own, times).withColumn("tokens", token_count(F.col("content")))
+    return token_budget(rows, "tokens", [F.col("chunk_order_index"), F.col("chunk_id"), F.col("ts")], budget)
+
+
+def edges_at(edges: DataFrame, times: list[str]) -> DataFrame:
+    """Edges with facts at any of the times: a key of their map (``description``), or a time that its texts mention."""
+    keyed = F.exists(F.map_keys("description"), lambda k: k.isin(*times))
+    spoken = F.exists(F.map_values("description"), lambda v: F.exists(F.array(*map(F.lit, times)), lambda t: F.lower(v).contains(F.lower(t))))
+    return edges.where(keyed | F.coalesce(spoken, F.lit(False)))
+
+
+def temporal_edges(entities: DataFrame, edges: DataFrame, times: list[str], k: int) -> DataFrame:
+    """``(rank, node, src, tgt, description)``: edges of ranked entities ``(node, rank)`` at the times, merged by turns.
+
+    ``edges(src, tgt, description map[, weight, order])``. Each entity gives its best k, by weight, then order; texts are
+    ``time: text`` joined by ``; ``.
     """
-    rows = scored.join(chunks, "chunk_id")
-    order = [F.desc("score"), F.col("chunk_id")]
-    first = token_budget(rows.where("temporal"), "tokens", order, int(budget * temporal_share))
-    rest = token_budget(rows.where("not temporal"), "tokens", order, budget - int(budget * temporal_share))
-    return first.unionByName(rest)
+    weight = F.col("weight") if "weight" in edges.columns else F.size("description").cast("double")
+    order = F.col("order") if "order" in edges.columns else F.lit(1)
+    found = edges_at(edges, times).select("src", "tgt", "description", weight.alias("w"), order.alias("o"))
+    ends = found.withColumn("node", F.explode(F.array_distinct(F.array("src", "tgt")))).join(entities, "node")
+    w = Window.partitionBy("node").orderBy(F.desc("w"), F.desc("o"), "src", "tgt")
+    lists = ends.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k).select("rank", "node", "pos", F.concat_ws("\x1f", "src", "tgt").alias("edge"))
+    merged = round_robin(lists.select(F.struct("rank", "node").alias("list"), "pos", "edge").select(F.concat_ws("\x1f", F.lpad(F.col("list.rank").cast("string"), 9, "0"), "list.node").alias("list"), "pos", "edge"), "list", "pos", "edge", k)
+    merged = merged.select("rank", F.substring_index("list", "\x1f", -1).alias("node"), F.split("edge", "\x1f")[0].alias("src"), F.split("edge", "\x1f")[1].alias("tgt")).where(F.col("rank") < k)
+    return merged.join(found, ["src", "tgt"]).select("rank", "node", "src", "tgt", describe_map(F.col("description")).alias("description"))
+
+
+def same_years(times: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(ts)``: all times of the hierarchy in the years of the question's times."""
+    year = extract_year(F.col("ts")).alias("year")
+    return nodes.select("ts", year).join(times.select(year).distinct(), "year", "left_semi").select("ts")
+
+
+def cluster_counts(entities: DataFrame, clusters: DataFrame) -> DataFrame:
+    """``(cluster, n)``: to how many of the entities ``(node)`` each cluster belongs."""
+    return clusters.join(entities, "node").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
 def related_communities(entities: DataFrame, clusters: DataFrame, reports: DataFrame, level: int, k: int) -> DataFrame:
@@ -92,15 +144,22 @@ def related_communities(entities: DataFrame, clusters: DataFrame, reports: DataF
 
     Clusters without a report are passed over.
     """
-    counted = clusters.where(F.col("level") <= level).join(entities, "node").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    counted = cluster_counts(entities, clusters.where(F.col("level") <= level))
     return top_k(counted.join(reports, "cluster"), [F.desc("n"), F.desc("rating"), F.col("cluster")], k)
 
 
-def related_edges(entities: DataFrame, edges: DataFrame, edge_scores: DataFrame) -> DataFrame:
-    """Edges at any of the entities ``(node)``, each once, with ``(rank, weight)`` of ``edge_scores(src, tgt, ..)``."""
+def related_edges(entities: DataFrame, edges: DataFrame, edge_scores: DataFrame, budget: int | None = None) -> DataFrame:
+    """Edges at any of the entities ``(node)``, each once, with ``(rank, weight)`` of ``edge_scores(src, tgt, ..)``.
+
+    With a budget, the best by rank and weight whose ``description`` texts fit its tokens.
+    """
     at_src = edges.join(entities.withColumnRenamed("node", "src"), "src", "left_semi")
     at_tgt = edges.join(entities.withColumnRenamed("node", "tgt"), "tgt", "left_semi")
-    return at_src.unionByName(at_tgt).distinct().join(edge_scores, ["src", "tgt"])
+    found = at_src.unionByName(at_tgt).distinct().join(edge_scores, ["src", "tgt"])
+    if budget is None:
+        return found
+    best = [F.desc("rank"), F.desc("weight"), F.col("src"), F.col("tgt")]
+    return token_budget(found.withColumn("tokens", token_count(F.coalesce("description", F.lit("")))), "tokens", best, budget).drop("tokens")
 
 
 def temporal_text_units(chunks: DataFrame, times: list[str], id_col: str = "chunk_id") -> DataFrame:

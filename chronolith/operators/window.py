@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Lists that may be merged by turns.
+MOST_LISTS = 1_000
+
+
 def token_budget(df: DataFrame, tokens: str, order: list[Column], budget: int, by: list[str] | None = None) -> DataFrame:
     """The longest prefix, in order, whose tokens don't exceed the budget; per key, if ``by`` names one."""
     w = Window.partitionBy(*(by or [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -29,9 +33,10 @@ def next_fit(tokens: Column, budget: int) -> Column:
 
 
 def first_seen(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row per key: the first in order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+    """One row per key: the first in order (columns, ascending), as one aggregate (partial before the shuffle)."""
+    rest = [c for c in df.columns if c not in keys]
+    merged = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__row"))
+    return merged.select(*keys, "__row.*").select(df.columns)
 
 
 def last_write(df: DataFrame, keys: list[str], version: str) -> DataFrame:
@@ -42,8 +47,21 @@ def last_write(df: DataFrame, keys: list[str], version: str) -> DataFrame:
 
 
 def enumerate_rows(df: DataFrame, order: list[Column], name: str = "id") -> DataFrame:
-    """Rows with their numbers from 0; for reports, whose size is bounded."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1)
+    """Rows with their numbers from 0: sorted over all tasks, numbered in each, behind what the tasks before it hold."""
+    from .graph import cut_lineage
+
+    at = "__at"
+    ordered = cut_lineage(df.orderBy(*order).withColumn(at, F.monotonically_increasing_id()))
+    part = F.shiftright(at, 33)  # such an id is the task's number and the row's place in it
+    held = ordered.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n")).orderBy("__part").collect()  # one row a task
+    total, before = 0, {}
+    for r in held:
+        before[r["__part"]] = total
+        total += r["n"]
+    if not before:
+        return ordered.drop(at).withColumn(name, F.lit(0).cast("bigint"))
+    offset = F.element_at(F.create_map(*[F.lit(x).cast("bigint") for kv in before.items() for x in kv]), part)
+    return ordered.withColumn(name, offset + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).drop(at)
 
 
 def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
@@ -54,12 +72,16 @@ def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
 def round_robin(df: DataFrame, list_col: str, pos_col: str, key_col: str, k: int) -> DataFrame:
     """Merge of ranked lists: turn by turn each list gives its best item that no list has given yet.
 
-    Turns begin while there are fewer than k items, and a turn once begun is finished.
-
-    Lists are short (top-k results), so they are folded in one array.
+    Turns begin while there are fewer than k items, and a turn once begun is finished. So no more than k and the number of
+    lists are given, and no list is looked at further than that: only so much of each comes to the task that merges.
+    Positions count from 0 or 1 without gaps. More than ``MOST_LISTS`` lists are refused.
     """
     import pandas as pd
 
+    lists = df.select(list_col).distinct().limit(MOST_LISTS + 1).count()
+    if lists > MOST_LISTS:
+        raise ValueError(f"more than {MOST_LISTS} lists")
+    df = df.select(list_col, pos_col, key_col).where(F.col(pos_col) <= k + lists + 1)
     key_type = dict(df.dtypes)[key_col]
     list_type = dict(df.dtypes)[list_col]
 
@@ -80,6 +102,6 @@ def round_robin(df: DataFrame, list_col: str, pos_col: str, key_col: str, k: int
     return df.groupBy().applyInPandas(fold, f"rank int, {list_col} {list_type}, {key_col} {key_type}")
 
 
-def include_first(df: DataFrame, condition: Column, order: list[Column]) -> DataFrame:
-    """Rows that meet the condition after all others, each side in its order."""
-    return df.orderBy(F.when(condition, 1).otherwise(0), *order)
+def include_first(df: DataFrame, condition: Column, order: list[Column], name: str) -> DataFrame:
+    """Rows with their numbers from 0: those that meet the condition after all others, each side in its order."""
+    return enumerate_rows(df, [F.when(condition, 1).otherwise(0), *order], name)

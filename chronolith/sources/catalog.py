@@ -13,11 +13,12 @@ from ..operators.window import last_write
 class Catalog:
     """Tables ``<root>/<name>/<version>``; ``<root>/<name>/_current`` names the version that counts.
 
-    A commit writes a new version as a whole, then moves the pointer, so a failed job leaves the old table in place.
+    A commit writes a new version as a whole, then moves the pointer, so a failed job leaves the old table in place. The last
+    few versions stay, for readers that began before.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, keep: int = 3):
+        self.spark, self.root, self.keep = spark, root.rstrip("/"), max(2, keep)
 
     def _fs(self):  # noqa: ANN202
         jvm = self.spark.sparkContext._jvm
@@ -42,18 +43,33 @@ class Catalog:
         return self.spark.read.parquet(f"{self.root}/{name}/{version}")
 
     def write(self, name: str, df: DataFrame) -> None:
+        """A new version; all but the last ``keep`` are removed."""
         jvm, fs = self._fs()
         old = self.version(name)
         version = uuid.uuid4().hex
         df.write.parquet(f"{self.root}/{name}/{version}")
         number = 0 if old is None else max(int(s.getPath().getName().split("-")[1]) for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")) if s.getPath().getName().startswith("_current-")) + 1
         fs.create(jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/_current-{number:012d}-{version}"), False).close()
+        for status in sorted(fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")), key=lambda s: s.getPath().getName()):
+            mark = status.getPath().getName()
+            if mark.startswith("_current-") and int(mark.split("-")[1]) <= number - self.keep:
+                fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/{mark.split('-', 2)[2]}"), True)
+                fs.delete(status.getPath(), False)
 
     def upsert(self, name: str, new: DataFrame, keys: list[str]) -> None:
         """Rows of ``new`` replace those of equal keys; of several for a key in ``new``, any one that is last by value."""
+        self.write(name, self.merged(name, new, keys))
+
+    def merged(self, name: str, new: DataFrame, keys: list[str]) -> DataFrame:
+        """What ``upsert`` would write."""
         old = self.read(name, None) if self.version(name) else None
         rows = new.withColumn("__v", F.lit(1)) if old is None else old.withColumn("__v", F.lit(0)).unionByName(new.withColumn("__v", F.lit(1)))
-        self.write(name, last_write(rows, keys, "__v").drop("__v"))
+        return last_write(rows, keys, "__v").drop("__v")
+
+    def drop_all(self) -> None:
+        """Remove every table."""
+        jvm, fs = self._fs()
+        fs.delete(jvm.org.apache.hadoop.fs.Path(self.root), True)
 
     def truncate(self, name: str) -> None:
         self.write(name, self.read(name).limit(0))

@@ -14,7 +14,10 @@ CORPUS = "cleaned_content string, raw_content string, company_name string, year
 def corpus(spark: SparkSession, path: str, limit: int | None = 3) -> DataFrame:
     """Rows of JSON lines, gzipped or not: the first ``limit`` in the file's order, or all."""
     rows = spark.read.schema(CORPUS).json(path)
-    return rows if limit is None else rows.limit(limit)
+    if limit is None:
+        return rows
+    at = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return rows.withColumn("__at", at).orderBy("__at").limit(limit).drop("__at")
 
 
 def as_documents(rows: DataFrame) -> DataFrame:
@@ -48,6 +51,10 @@ def text_folder(spark: SparkSession, path: str) -> DataFrame:
 
 def documents(spark: SparkSession, path: str, limit: int | None = 3) -> DataFrame:
     """``(title, doc)`` of whatever a path holds: JSON lines by their ending, a text file, else a folder."""
+    from .stores import exists
+
+    if not any(c in path for c in "*?[{") and not exists(spark, path):
+        raise FileNotFoundError(path)
     low = path.lower()
     if low.endswith((".jsonl", ".json", ".jsonl.gz", ".json.gz", ".gz")):
         return as_documents(corpus(spark, path, limit))

@@ -54,12 +54,12 @@ def _pagerank(edges, seeds, alpha=0.85, steps=200):
     return dict(zip(nodes, x, strict=True))
 
 
-@pytest.mark.parametrize("seeds", [["a", "missing"], ["missing"]])
-def test_pagerank_against_power_iteration(spark, seeds):
+@pytest.mark.parametrize(("seeds", "arcs"), [(["a", "missing"], 0), (["a", "missing"], 100), (["missing"], 100)])
+def test_pagerank_against_power_iteration(spark, seeds, arcs):
     edges = [("a", "b"), ("b", "c"), ("c", "a"), ("d", "c"), ("e", "f"), ("g", "g")]
     df = spark.createDataFrame(edges, "src string, tgt string")
     s = None if seeds is None else spark.createDataFrame([(x,) for x in seeds], "node string")
-    got = {r.node: r.score for r in graph.personalized_pagerank(df, s, tol=1e-5).collect()}
+    got = {r.node: r.score for r in graph.personalized_pagerank(df, s, tol=1e-5, local_arcs=arcs).collect()}
     want = _pagerank(edges, seeds or [])
     assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-4
 
@@ -116,8 +116,8 @@ def test_communities_against_brute_force(spark, sf):
 def test_hierarchy_of_mixed_levels(spark):
     t = spark.createDataFrame([("2024-01-05", "c1"), ("2024-Q3", "c2"), ("2024", "c3"), ("UNKNOWN_TIME", "c4"), ("2024-W02", "c5")], "ts string, source_id string")
     nodes, edges = graph.hierarchy(t)
-    got = {r.ts: (r.level, r.instantiation, r.source_ids) for r in nodes.collect()}
-    assert got["2024"] == (0, True, ["c3"]) and got["2024-Q1"] == (1, False, []) and got["2024-01-05"] == (3, True, ["c1"]) and "UNKNOWN_TIME" not in got
+    got = {r.ts: (r.level, r.instantiation) for r in nodes.collect()}
+    assert got["2024"] == (0, True) and got["2024-Q1"] == (1, False) and got["2024-01-05"] == (3, True) and "UNKNOWN_TIME" not in got
     pairs = {(r.parent, r.child) for r in edges.collect()}
     assert {("2024", "2024-Q1"), ("2024-Q1", "2024-01"), ("2024-01", "2024-01-05"), ("2024", "2024-Q3"), ("2024-Q1", "2024-W02")} == pairs
     reach = {(r.ancestor, r.descendant) for r in graph.closure(edges).collect()}
@@ -140,6 +140,72 @@ def test_vector_query_fills_up_below_the_threshold(spark):
     assert [r.id for r in vector.query(v, [1.0, 1.0], 5).collect()] == [1, 2]
 
 
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.1"])
+def test_stored_index_has_its_recall_at_the_defaults(spark, tmp_path, folder):
+    from chronolith.sources.catalog import Catalog
+
+    e = spark.read.parquet(f"{folder}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    index = vector.CellIndex(Catalog(spark, f"file://{tmp_path}/i"))
+    assert index.upsert(e) == e.count()
+    x = {r.id: np.array(r.embedding) for r in e.collect()}
+    ids = np.array(sorted(x))
+    m = np.stack([x[i] / np.linalg.norm(x[i]) for i in ids])
+    asked = [i for i in ids.tolist() if i % 100 == 0][:8]
+    hit = sum(len({r.id for r in index.query(x[i].tolist(), 10).collect()} & set(ids[np.argsort(-(m @ (x[i] / np.linalg.norm(x[i]))))[:10]].tolist())) for i in asked)
+    assert hit >= 0.9 * 10 * len(asked)
+
+
+def test_stored_index_by_times_and_capacity(spark, tmp_path):
+    from chronolith.sources.catalog import Catalog
+
+    rows = [("a", "ALPHA", "met in 2023", "PERSON", [1.0, 0.0]), ("b", "BETA", "none", "PERSON", [0.9, 0.1]), ("c", "2024", None, "YEAR", [0.5, 0.5]), ("d", "DELTA", "none", "PERSON", [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "id string, entity_name string, description string, entity_type string, embedding array<double>")
+    index = vector.CellIndex(Catalog(spark, f"file://{tmp_path}/i"), cells=2, probes=2, capacity=4)
+    assert index.upsert(df.limit(0)) == 0 and index.upsert(df) == 4 and index.upsert(df.where("id = 'a'")) == 4
+    assert [r.id for r in index.temporal_query([1.0, 0.0], ["DELTA"], 5).collect()] == ["a", "c", "d"]
+    with pytest.raises(ValueError):
+        index.upsert(df.withColumn("id", F.concat("id", F.lit("2"))))
+
+
+def test_coded_windows_with_a_tokenizer_of_ones_own(spark):
+    docs = spark.createDataFrame([(1, "T", "abcdefghij"), (2, "T", ""), (3, "T", None)], "doc_id int, title string, doc string")
+    encode, decode = lambda x: [ord(c) for c in x], lambda ids: "".join(map(chr, ids))
+    got = chunking.coded_windows(docs, encode, decode, 5, 2, "doc_id", "doc", "title").orderBy("chunk_order_index").collect()
+    assert [(r.full_doc_id, r.content, r.tokens) for r in got] == [(1, "Tabcd", 5), (1, "Tcdef", 5), (1, "Tefgh", 5), (1, "Tghij", 5), (1, "Tij", 3)]
+
+
+def test_enumeration_over_partitions(spark):
+    rows = spark.range(200).select((F.col("id") * 7919 % 200).alias("x")).repartition(5)
+    got = {r.x: r.id for r in window.enumerate_rows(rows, [F.desc("x")]).collect()}
+    assert got == {i: 199 - i for i in range(200)} and window.enumerate_rows(rows.limit(0), [F.col("x")]).count() == 0
+
+
+def test_merging_with_stored_nodes(spark):
+    schema = "entity_name string, entity_type string, description string, source_id string"
+    stored = spark.createDataFrame([("A", "FIRM", "old<SEP>older", "c1"), ("B", "UNKNOWN", "", ""), ("Z", "FIRM", "kept", "c0")], schema)
+    rows = spark.createDataFrame([("A", "PERSON", "new", "c2", 5), ("B", "CITY", "big", "c2", 6), ("C", "CITY", "x", "c3", 7)], schema + ", seq bigint")
+    got = {r.entity_name: (r.entity_type, r.description, r.source_id) for r in graph.merge_nodes(rows, stored).collect()}
+    assert got == {"A": ("PERSON", "new<SEP>old<SEP>older", "c1<SEP>c2"), "B": ("CITY", "big", "c2"), "C": ("CITY", "x", "c3")}
+    twice = rows.union(spark.createDataFrame([("A", "FIRM", "new", "c4", 9)], schema + ", seq bigint"))
+    assert {r.entity_name: r.entity_type for r in graph.merge_nodes(twice, stored).collect()}["A"] == "FIRM"
+
+
+def test_round_robin_trims_lists_exactly(spark):
+    rng = np.random.default_rng(41)
+    for _ in range(4):
+        lists = {name: [int(x) for x in rng.permutation(40)[: rng.integers(1, 40)]] for name in "abc"}
+        seen, out, at = set(), [], dict.fromkeys(lists, 0)
+        while len(out) < 9 and any(at[n] < len(x) for n, x in lists.items()):
+            for n, x in lists.items():
+                while at[n] < len(x) and x[at[n]] in seen:
+                    at[n] += 1
+                if at[n] < len(x):
+                    seen.add(x[at[n]])
+                    out.append((n, x[at[n]]))
+        df = spark.createDataFrame([(n, p, x) for n, xs in lists.items() for p, x in enumerate(xs)], "l string, p int, k int")
+        assert [(r.l, r.k) for r in window.round_robin(df, "l", "p", "k", 9).orderBy("rank").collect()] == out
+
+
 def test_approximate_search_recall(spark, sf):
     e = spark.read.parquet(f"{sf}/embeddings.parquet").withColumnRenamed("vec_id", "id")
     q = e.where("id % 50 = 0")

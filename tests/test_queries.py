@@ -13,24 +13,6 @@ def test_query_matches_its_sql(spark, duck, sf, name):
         assert len(got) > 0
 
 
-@pytest.mark.parametrize(
-    ("name", "part"),
-    [("f4_has_edge", "c_custkey % 50 = 1"), ("p5_largest_component", "o_custkey % 40 < 12"), ("j16_relation_counts", "c_custkey <= 5"), ("j19_nearest_time", "src LIKE 'Brand#1%'"), ("e15_report_packing", "src IN ('Brand#11', 'Brand#12')")],
-)
-def test_whole_tables_too(spark, duck, sf, name, part):
-    assert f" WHERE {part}" in ORACLES[name]
-    want = duck.execute(ORACLES[name].replace(f" WHERE {part}", "")).df()
-    assert_same(QUERIES[f"{name}_whole"](spark, sf).toPandas(), want)
-
-
-def test_two_hops_over_all_days_and_kinds(spark, duck, sf):
-    sql = ORACLES["j6_two_hops"]
-    for part in (" WHERE ts LIKE '2024-01-0%'", " WHERE tgt = 'PURCHASE'"):
-        assert part in sql
-        sql = sql.replace(part, "")
-    assert_same(QUERIES["j6_two_hops_whole"](spark, sf).toPandas(), duck.execute(sql).df())
-
-
 def test_entry_point(spark, sf):
     import __spark_entry__ as entry
 
