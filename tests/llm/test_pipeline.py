@@ -59,6 +59,26 @@ def test_passages_of_just_over_fifty_words(spark, sf, length):
     assert got[6] == texts[6] and len(got) == len(texts)
 
 
+def test_stages_over_odd_rows(spark, sf):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, key string, label string"
+    copies = "the same words stand here in this one text again and again " * 12
+    rows = [(1, None, None, None, None, "k", "l"), (2, "", "en", "s", 0, None, None), (3, copies, "en", "s", len(copies), "k", "l"), (4, copies, None, "s", None, "k", "l"), (4, copies, None, "s", None, "k", "l"), (None, "no id at all", "en", "s", 12, "k", "l"), (5, "a few words", "en", "s", 11, "k", None)]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, docs.limit(0), sf)
+        assert empty.count() == 0, name
+        got = stage(spark, docs, sf).collect()
+        if name == "toxicity":
+            assert [tuple(r) for r in sorted(got, key=str)] == [tuple(r) for r in sorted(docs.collect(), key=str)]
+        elif name == "near_duplicates":
+            assert sorted((r.doc_id or 0) for r in got) == [0, 1, 2, 3, 5] and all(len(r) == 7 for r in got)
+        elif name == "passages":
+            assert len(got) == 7 and {r.doc_id: r.text for r in got if r.doc_id in (2, 5)} == {2: "", 5: "a few words"}
+            assert all(r.text == "" for r in got if r.doc_id in (3, 4)) and {(r.key, r.label) for r in got} == {("k", "l"), (None, None), ("k", None)}
+        else:
+            assert len(got) == 7 and sorted(r.text for r in got) == sorted(r[1] or "" for r in rows)
+
+
 def test_whole_run(spark, sf):
     packed = corpus_pipeline.run(spark, sf)
     assert packed.count() > 0 and "batch" in packed.columns
