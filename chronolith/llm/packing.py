@@ -4,8 +4,8 @@ Texts are cut to pieces of at most ``max_tokens`` words; a text's pieces, one af
 histogram of all piece lengths - never more than
 ``max_tokens`` numbers, whatever the input - dynamic programming finds the ``buckets`` upper bounds that minimise the
 padding in total. A bucket's batches hold as many pieces as the budget has room for at the bucket's bound, so all are
-full but the last. Places in a bucket follow from counts of its slices (prefix sums) and row numbers inside a slice; a
-bucket that holds a third of all pieces has as many more slices, and none is sorted as a whole.
+full but the last. Places in a bucket follow from counts of its slices (prefix sums) and row numbers inside a slice. A
+bucket has slices by the bytes of its pieces, so one that holds a third of them has as many more; none is sorted as a whole.
 
 Null and wordless texts make one piece of no tokens, outside all buckets. Rows of one id, or of none, are packed one by one,
 equal rows too. Extra columns are passed by; an empty table gives an empty one.
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, arrow_limits, map_arrow, text_bytes
 
 MAX_TOKENS, BUCKETS, BUDGET = 2048, 16, 16_384
-#: Pieces in a slice of a bucket, about.
-SLICE = 4096
+#: Bytes of text in a slice of a bucket, about, and what a piece counts beside its text: slices of long pieces have fewer.
+SLICE_BYTES, PIECE_BYTES = 2 << 20, 64
 #: Bytes of text that are looked at together.
 CHUNK = 1 << 22
 
@@ -52,8 +52,9 @@ def _pieces(max_tokens: int):
         later = piece > 0
         cuts[later] = starts[at[rows[later]] + first[later]]
         text = pa.Array.from_buffers(pa.large_string(), len(rows), [None, pa.py_buffer(np.append(cuts, len(data)).astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())])
-        arrays = [batch.column(0).take(pa.array(rows)), pa.array(piece), pa.array(first), pa.array(np.minimum(words[rows] - first, max_tokens)), text.cast(pa.string())]
-        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "first_token", "n_tokens", "text"])
+        n_bytes = np.diff(np.append(cuts, len(data)))
+        arrays = [batch.column(0).take(pa.array(rows)), pa.array(piece), pa.array(first), pa.array(np.minimum(words[rows] - first, max_tokens)), pa.array(n_bytes), text.cast(pa.string())]
+        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "first_token", "n_tokens", "n_bytes", "text"])
 
     return fn
 
@@ -86,24 +87,24 @@ def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> lis
     return bounds[::-1]
 
 
-def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, buckets: int = BUCKETS, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text", slice_rows: int = SLICE) -> DataFrame:
+def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, buckets: int = BUCKETS, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """``(doc_id, piece, first_token, n_tokens, bucket_tokens, batch, slot, n_padding, text)`` for every piece."""
     arrow_limits(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "packing")
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, piece long, first_token long, n_tokens long, text string"
+    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, piece long, first_token long, n_tokens long, n_bytes long, text string"
     # the partition tells equal rows apart; it is written, so all that follows sees the same
     spread = F.xxhash64("doc_id", "piece", F.spark_partition_id()).alias("spread")
     pieces = scratch.save(map_arrow(rows, _pieces(max_tokens), schema).select("*", spread), "pieces")
 
-    histogram = pieces.where("n_tokens > 0").groupBy("n_tokens").count().collect()  # max_tokens rows at most
+    histogram = pieces.where("n_tokens > 0").groupBy("n_tokens").agg(F.count(F.lit(1)), F.sum("n_bytes")).collect()  # max_tokens rows at most
     bounds = optimal_bounds(np.array([r[0] for r in histogram], np.int64), np.array([r[1] for r in histogram], np.int64), buckets)
-    held = {b: sum(r[1] for r in histogram if low < r[0] <= b) for low, b in zip([0, *bounds], bounds, strict=False)}
+    held = {b: sum(r[1] * PIECE_BYTES + r[2] for r in histogram if low < r[0] <= b) for low, b in zip([0, *bounds], bounds, strict=False)}
     bucket = F.lit(None).cast("long")
     slices = F.lit(1)
     for b in reversed(bounds):
         bucket = F.when(F.col("n_tokens") <= b, F.lit(b).cast("long")).otherwise(bucket)
-        slices = F.when(F.col("n_tokens") <= b, F.lit(-(-held[b] // slice_rows))).otherwise(slices)
+        slices = F.when(F.col("n_tokens") <= b, F.lit(-(-held[b] // slice_bytes))).otherwise(slices)
     empty = F.col("n_tokens") == 0
     placed = pieces.withColumn("bucket_tokens", F.when(~empty, bucket)).withColumn("slice", F.pmod("spread", slices).cast("int"))
 

@@ -304,7 +304,7 @@ def test_packing_places_every_piece(spark):
     rng = random.Random(12)
     rows = [(i, " ".join(["w"] * rng.randrange(1, 60))) for i in range(300)] + [(400, None), (401, " \t"), (402, "w " * 210), (7, "w"), (7, "w")]
     df = spark.createDataFrame(rows, "doc_id int, text string").withColumn("piece", F.lit("clash"))
-    got = packing.pack(df, max_tokens=64, buckets=4, budget=256, slice_rows=10).toPandas()
+    got = packing.pack(df, max_tokens=64, buckets=4, budget=256, slice_bytes=1000).toPandas()
     assert got[got.doc_id == 402].n_tokens.sort_values().tolist() == [18, 64, 64, 64]
     assert got.n_tokens.sum() == sum(len((t or "").split()) for _, t in rows)
     texts = got.sort_values(["doc_id", "piece"]).groupby("doc_id").text.apply("".join)
@@ -319,7 +319,7 @@ def test_packing_places_every_piece(spark):
         assert len(g) == room or batch == last
     assert packing.pack(df.limit(0)).count() == 0
     nulls = spark.createDataFrame([(None, "a b c")] * 300, "doc_id long, text string").repartition(4)
-    packed = packing.pack(nulls, budget=30, slice_rows=10).toPandas()
+    packed = packing.pack(nulls, budget=30, slice_bytes=1000).toPandas()
     assert len(packed) == 300 and packed.batch.nunique() == 30 and packed.groupby("batch").size().eq(10).all()
 
 
