@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, arrow_limits, join_spread, map_arrow, prefix_hash, sliding, span_hash, text_bytes
+from .common import HOT_ROWS, HOT_SHARE, U64, Scratch, arrow_limits, join_spread, map_arrow, prefix_hash, sliding, span_hash, text_bytes
 
 #: Bytes of text in a shard, about; below 2**21, so that two ranks and a position share a 64-bit sort key.
 SHARD_BYTES = 1 << 19
@@ -357,10 +357,14 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, min_bytes: int = 400, sha
         short = map_arrow(texts.where(F.octet_length("text") >= 2 * words - 1).select("key", "text"), _emit_words(words, min_bytes), "name long, key binary, lo int, hi int")
         short = short.groupBy("name", (F.col("hi") - F.col("lo")).alias("size"), "key", "lo", "hi").agg(F.count(F.lit(1)).alias("times"))
         short = scratch.save(short, "words")
-        twice = short.groupBy("name", "size").agg(F.sum("times").alias("stands")).where("stands > 1")
-        spans = spans.union(short.join(twice, ["name", "size"], "left_semi").select("key", "lo", "hi"))
+        stands = scratch.save(short.groupBy("name", "size").agg(F.sum("times").alias("stands"), F.count(F.lit(1)).alias("rows")).where("stands > 1"), "stands")
+        # windows with many rows repeat for certain: they need no shuffle, and no task gets all rows of one
+        limit = max(HOT_ROWS, short.count() // HOT_SHARE)
+        hot = F.broadcast(stands.where(F.col("rows") > limit).select("name", "size"))  # HOT_SHARE at most
+        rest = short.join(hot, ["name", "size"], "left_anti").join(stands.where(F.col("rows") <= limit), ["name", "size"], "left_semi")
+        spans = spans.union(rest.union(short.join(hot, ["name", "size"], "left_semi")).select("key", "lo", "hi"))
     spans = scratch.save(spans.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
-    scratch.drop("runs", "each", "known", "solved", *["words"] * bool(words))
+    scratch.drop("runs", "each", "known", "solved", *["words", "stands"] * bool(words))
     return spans
 
 
