@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -397,14 +398,17 @@ def with_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _apply(batch: pa.RecordBatch) -> pa.RecordBatch:
     data, offsets = text_bytes(batch.column(1))
     sizes = np.diff(offsets)
+    several = pc.list_value_length(batch.column(2)).fill_null(0).to_numpy()
+    flat = batch.column(2).flatten()
+    los, his = (flat.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("lo", "hi"))
     removed, count, digest, kept = [], [], [], []
-    for a, b, spans in zip(offsets[:-1], offsets[1:], batch.column(2).to_pylist(), strict=True):
+    for a, b, n, end in zip(offsets[:-1], offsets[1:], several, np.cumsum(several), strict=True):
         own = data[a:b]
         whole = own.tobytes()
         left, text = whole, whole
         lo = hi = np.zeros(0, np.int64)
-        if spans:
-            lo, hi = cut(np.array([s["lo"] for s in spans]), np.array([s["hi"] for s in spans]))
+        if n:
+            lo, hi = cut(los[end - n : end], his[end - n : end])
             left, text = _without(whole, lo, hi), _without(whole, *whole_characters(own, lo, hi))
         removed.append(int((hi - lo).sum()))
         count.append(len(lo))

@@ -128,6 +128,21 @@ def test_chunks_of_a_long_text_name_the_same_windows(monkeypatch):
         monkeypatch.undo()
 
 
+def test_word_windows_of_many_rows_and_of_few(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(12))
+    common, rare = (" ".join(rng.choice("klmnop") for _ in range(51)) for _ in range(2))
+    inner = [common] * (common_rows := 600) + [rare] * 2 + [" ".join(rng.choice("qrst") for _ in range(51)), ""]
+    assert common_rows > sa.HOT_ROWS
+    texts = [f"{word()} {word()} {x} {word()}" for x in inner]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    got = {r.doc_id: r for r in sa.suffix_array_dedup(df, 256, words=51).collect()}
+    for i, (text, x) in enumerate(zip(texts, inner, strict=True)):
+        gone = x if inner.count(x) > 1 else ""
+        assert (got[i].n_removed, got[i].n_spans) == (len(gone), int(bool(gone)))
+        assert got[i].kept == (text.replace(gone, "") if gone else text)
+
+
 def test_kept_text_has_whole_characters_only(spark):
     shared = "é" * 30
     rows = [(1, "a" + shared + "ç"), (2, "b" + shared + "Ã"), (3, "xyz"), (4, None)]
