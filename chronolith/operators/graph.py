@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.timeexpr import level_number, time_path
-from .window import last_write
+from .window import last_known
 
 PACKED = "<SEP>"
 
@@ -95,13 +95,13 @@ def merge_static_edges(rows: DataFrame) -> DataFrame:
 
 
 def merge_temporal_facts(rows: DataFrame) -> DataFrame:
-    """One fact per (src, tgt, ts): the one written last."""
-    return last_write(undirected(rows), ["src", "tgt", "ts"], "seq")
+    """One fact per (src, tgt, ts): of each column what was written last; nulls write nothing."""
+    return last_known(undirected(rows), ["src", "tgt", "ts"], "seq")
 
 
 def edges_with_maps(facts: DataFrame) -> DataFrame:
-    """Edges ``(src, tgt, description map, source_id map)`` of merged facts."""
-    entries = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.struct("ts", c))))
+    """Edges ``(src, tgt, description map, source_id map)`` of merged facts; a fact without a time has the key ''."""
+    entries = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce("ts", F.lit("")).alias("ts"), c))))
     return facts.groupBy("src", "tgt").agg(entries("description").alias("description"), entries("chunk_id").alias("source_id"))
 
 

@@ -27,3 +27,16 @@ def test_nothing_but_the_entry_point_knows_the_training_data_subpackage():
     for f in root.rglob("*.py"):
         if "llm" not in f.relative_to(root).parts:
             assert "llm" not in f.read_text(), f
+
+
+def test_described_edges_where_flags_and_dates_are_missing(spark, sf, tmp_path):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("customer", "orders", "part", "lineitem"):
+        rows = f"SELECT * FROM '{sf}/{t}.parquet'"
+        if t == "lineitem":
+            rows = f"SELECT * REPLACE (CASE WHEN (l_orderkey + l_linenumber) % 3 > 0 THEN l_returnflag END AS l_returnflag, CASE WHEN l_partkey % 7 > 0 THEN l_shipdate END AS l_shipdate) FROM '{sf}/{t}.parquet'"
+        con.execute(f"COPY ({rows}) TO '{tmp_path}/{t}.parquet'")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    assert_same(QUERIES["f16_described_edges"](spark, str(tmp_path)).toPandas(), con.execute(ORACLES["f16_described_edges"]).df())
