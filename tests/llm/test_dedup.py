@@ -236,3 +236,18 @@ def test_components_of_chains_and_stars(spark):
     df = spark.createDataFrame(links, "a long, b long").repartition(4, "a")
     got = {r.node: r.label for r in connected_components(df, Scratch(spark, "test"), "c").collect()}
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 120), 100)}
+
+
+def test_batches_sent_back_are_bounded():
+    import pyarrow as pa
+
+    from chronolith.llm import common
+
+    class Frame:
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    rows = 2 * common.OUT_ROWS + 5
+    run = common.map_arrow(Frame(), lambda b: pa.RecordBatch.from_arrays([pa.array(range(rows))], names=["a"]), "a long")
+    got = list(run(iter([pa.RecordBatch.from_arrays([pa.array([1])], names=["a"])])))
+    assert [b.num_rows for b in got] == [common.OUT_ROWS, common.OUT_ROWS, 5] and pa.concat_arrays([b.column(0) for b in got]).to_pylist() == list(range(rows))
