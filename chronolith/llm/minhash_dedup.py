@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, arrow_limits, connected_components, join_spread, map_arrow, mix, prefix_hash, span_hash, text_bytes, union_find
+from .common import U64, Scratch, arrow_limits, connected_components, join_spread, map_arrow, unsent, mix, prefix_hash, span_hash, text_bytes, union_find
 
 #: Bands and samples in each: two sets of similarity 0.85 miss all bands once in a million pairs.
 BANDS, ROWS = 26, 5
@@ -281,31 +281,31 @@ def minhash_dedup(docs: DataFrame, percent: int = 80, words: int = 5, id_col: st
 
     banded = named.select("rep", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = scratch.save(banded.join(buckets, "band"), "shared")
+    shared = scratch.save(banded.join(unsent(buckets), "band"), "shared")
     crowded = shared.where((F.col("n") > group) & (F.col("rep") != F.col("first"))).select(F.col("rep").alias("a"), F.col("first").alias("b"))
-    sketched = shared.where(F.col("n") <= group).select("rep", "band").join(named.select("rep", "n_shingles", "sketch"), "rep")
+    sketched = shared.where(F.col("n") <= group).select("rep", "band").join(unsent(named.select("rep", "n_shingles", "sketch")), "rep")
     sketched = sketched.select("band", "rep", "n_shingles", "sketch").repartition("band").sortWithinPartitions("band")
     loose = scratch.save(sketched.mapInArrow(_bucket_forests(percent), "a long, b long").union(crowded), "possible")
     loose = connected_components(loose, scratch, "loose")
 
-    members = named.join(loose.withColumnRenamed("node", "rep"), "rep").select("rep", "set_key", "sketch", "n_shingles", F.col("label").alias("group"))
+    members = named.join(unsent(loose.withColumnRenamed("node", "rep")), "rep").select("rep", "set_key", "sketch", "n_shingles", F.col("label").alias("group"))
     members = scratch.save(members, "members")
     sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"))
     blocks = F.when((F.col("n") <= group) & (F.col("shingles") <= group_shingles), 1).otherwise(F.ceil(F.greatest(F.col("n") / (group / 2), F.col("shingles") / (group_shingles / 2)))).cast("int")
     sizes = scratch.save(sizes.select("group", blocks.alias("blocks")), "sizes")
-    placed = members.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    placed = placed.join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    placed = join_spread(members, sizes, "group", "rep").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    placed = placed.join(unsent(texts.withColumnRenamed("doc_id", "rep")), "rep")
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("group", F.least("block", "other").alias("lower"), F.greatest("block", "other").alias("upper"), "block", "rep", "set_key", "sketch", "text")
     placed = placed.repartition("group", "lower", "upper").sortWithinPartitions("group", "lower", "upper")
     links = scratch.save(placed.mapInArrow(_solve(words, percent), "a long, b long"), "links")
 
     twice = some.select("doc_id", "set_key").distinct().groupBy("doc_id").count().where("count > 1")
-    ids = some.select("doc_id", "set_key").join(twice.select("doc_id"), "doc_id", "left_semi").distinct().join(reps, "set_key")
+    ids = some.select("doc_id", "set_key").join(unsent(twice.select("doc_id")), "doc_id", "left_semi").distinct().join(unsent(reps), "set_key")
     ids = ids.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     found = connected_components(links.union(ids), scratch, "exact").withColumnRenamed("node", "rep")
 
-    classes = scratch.save(reps.join(found, "rep", "left").select("set_key", F.coalesce("label", "rep").alias("label")), "labels")
+    classes = scratch.save(reps.join(unsent(found), "rep", "left").select("set_key", F.coalesce("label", "rep").alias("label")), "labels")
     out = join_spread(rows.select("doc_id", "n_shingles", "set_key"), classes, "set_key", "doc_id")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id")
     out = out.select("doc_id", "n_shingles", component)
@@ -317,4 +317,4 @@ def one_of_each(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     """The rows of ``docs``, all columns: of each group of near-duplicates the one with the smallest id."""
     own = F.col(f"`{id_col}`")
     kept = minhash_dedup(docs, percent, id_col=id_col, text_col=text_col).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept"))
-    return docs.join(kept, own == F.col("__kept"), "left_semi").unionByName(docs.where(own.isNull()))
+    return docs.join(unsent(kept), own == F.col("__kept"), "left_semi").unionByName(docs.where(own.isNull()))

@@ -251,3 +251,29 @@ def test_batches_sent_back_are_bounded():
     run = common.map_arrow(Frame(), lambda b: pa.RecordBatch.from_arrays([pa.array(range(rows))], names=["a"]), "a long")
     got = list(run(iter([pa.RecordBatch.from_arrays([pa.array([1])], names=["a"])])))
     assert [b.num_rows for b in got] == [common.OUT_ROWS, common.OUT_ROWS, 5] and pa.concat_arrays([b.column(0) for b in got]).to_pylist() == list(range(rows))
+
+
+def test_only_hot_keys_are_broadcast(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, f"k{i % 50}") for i in range(100)], "id long, k string")
+    few = spark.createDataFrame([(f"k{i}", i) for i in range(50)], "k string, v int")
+    saved, save = [], Scratch.save
+
+    def kept(self, df, name):
+        saved.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return save(self, df, name)
+
+    monkeypatch.setattr(Scratch, "save", kept)
+    text = "some words that stand in every copy of this text " * 5
+    docs = spark.createDataFrame([(i, f"{text} {i % 3}") for i in range(9)] + [(20, "no more than this")], "doc_id long, text string")
+    out = mh.minhash_dedup(docs)
+    assert {r.component_id for r in out.collect()} == {0, 20}
+    plans = [*saved, ("out", out._jdf.queryExecution().executedPlan().toString()), ("spread", common_join(rows, few))]
+    for name, plan in plans:
+        hot = plan.count("(count#") or plan.count("count(1)")
+        assert plan.count("BroadcastHashJoin") <= (2 if hot else 0), (name, plan)
+
+
+def common_join(rows, few):
+    from chronolith.llm.common import join_spread
+
+    return join_spread(rows, few, "k", "id")._jdf.queryExecution().executedPlan().toString()
